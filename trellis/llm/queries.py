@@ -2,20 +2,75 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import substring_dedup
+from trellis.llm import pieces, secrets, substring_dedup, suffix_dedup, topk
 from trellis.llm.common import ship, table
 
 
+def piece_model(name: str = "piece_bpe_32k.model") -> bytes:
+    """The content of a public vocabulary file on the driver."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_bytes()
+
+
+def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), topk.quantised(F.col("embedding")).alias("vector")).filter("vector is not null")
+    return topk.top_k(rows.filter("vec_id % 20 = 0"), rows, 20)
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     out = substring_dedup.dedup_words(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_substring_dedup,)}
+def piece_digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+    ids, decoded = batch.column("ids"), batch.column("decoded").to_pylist()
+    ends, flat = np.asarray(ids.offsets), ids.values.to_numpy().astype("<u4")
+    covered = np.asarray(batch.column("stops").values).astype(np.int64) - np.asarray(batch.column("starts").values)
+    sums = np.concatenate(([0], np.cumsum(covered)))
+    columns = {
+        "doc_id": batch.column("doc_id"),
+        "n_tokens": pa.array(np.diff(ends).astype(np.int64)),
+        "ids_sha256": pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(ends, ends[1:])]),
+        "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded]),
+        "n_span_bytes": pa.array(sums[ends[1:]] - sums[ends[:-1]]),
+    }
+    return pa.RecordBatch.from_pydict(columns)
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), piece_model(), (piece_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_span_bytes long"))
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", secrets.names(x["kind"]), x["start"], x["stop"])), ",")
+    plain = lambda spans: F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["stop"].alias("stop")))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        joined(F.array_sort(F.array_distinct(F.concat(plain(F.col("base")), plain(F.col("live")))))).alias("spans"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_topk_search, op6_substring_dedup, op7_sentencepiece, op9_suffix_dedup, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
