@@ -112,7 +112,8 @@ def repeated(docs: DataFrame, unit: str, k: int, gram: int, keep_first: bool) ->
         whole = whole.filter("doc_id > first")
     whole = whole.select("doc_id", "start", "n")
 
-    branching = nodes.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1").select("gram")
+    # written first: the join then deals both sides itself and can split a minimiser that a common passage gives many paths
+    branching = materialise(nodes.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1").select("gram"), "branching")
     todo = nodes.join(branching, "gram", "left_semi")
     todo = todo.groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("rep.start").alias("start"), "n", "gram", "weight")).alias("paths"))
     single = materialise(edges(docs, todo, unit, k), "edges")
