@@ -24,7 +24,8 @@ def test_base_and_live_spans(spark):
         assert [tuple(x) for x in got[i].base] == brute(text)
     assert [(x.kind, x.start, x.stop, x.n_owners) for x in got[6].live] == [(3, 0, 40, 1)]
     assert [(x.start, x.stop) for x in got[8].live] == [(9, 27)]
-    assert not got[20].live and got[20].base  # six owners hold it: an example
+    assert not got[20].live and got[20].base  # six owners hold both values: examples
+    assert [x.n_owners for x in got[2].live] == [1]
 
 
 def test_redact(spark):

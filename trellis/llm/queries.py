@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import pieces, secrets, substring_dedup, suffix_dedup, topk
+from trellis.llm import ngram_join, pieces, secrets, substring_dedup, suffix_dedup, topk
 from trellis.llm.common import ship, table
 
 
@@ -54,6 +54,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), piece_model(), (piece_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_span_bytes long"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     out = suffix_dedup.dedup_bytes(table(spark, sf_dir, "documents"))
@@ -68,9 +73,9 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
-        joined(F.array_sort(F.array_distinct(F.concat(plain(F.col("base")), plain(F.col("live")))))).alias("spans"),
+        joined(F.array_sort(F.array_union(plain(F.col("base")), plain(F.col("live"))))).alias("spans"), F.size("live").cast("long").alias("n_live"),
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_topk_search, op6_substring_dedup, op7_sentencepiece, op9_suffix_dedup, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_topk_search, op6_substring_dedup, op7_sentencepiece, op8_ngram_join, op9_suffix_dedup, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}

@@ -1,9 +1,10 @@
 """Secret scans with corpus-wide ownership frequency.
 
 A scan of each whole text gives base spans (three fixed kinds) and looser candidates (provider tokens, bearer tokens,
-private keys, password parts of URLs, long mixed strings). Each candidate's value is hashed; Spark counts, over the whole
-corpus, the distinct repositories and the distinct owners that hold the hash. A value that many owners hold
-is a copied example; one that few hold looks live, and its span is added to the base spans, which always stay.
+private keys, password parts of URLs, long mixed strings). The value of each span, base or candidate, is hashed; Spark
+counts, over the whole corpus, the distinct repositories and the distinct owners that hold the hash. A value that many
+owners hold is a copied example; one that few hold looks live. Live candidates are added to the base spans, which
+always stay, live or not.
 
 The count deduplicates (hash, repository, owner) before it sums, so that a value which a third of all rows hold is a few
 rows for each task.
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from trellis.llm.common import materialise
+
 MAX_OWNERS, MAX_REPOSITORIES = 2, 3
 KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -59,13 +62,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans, key=lambda x: (x[1], x[0]))
 
 
+def digest(value: str) -> bytes:
+    return hashlib.blake2b(value.encode(), digest_size=16).digest()
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bytes]]:
-    out = []
+    """(kind, start, stop, hash of the value): the base spans, then what the looser patterns add."""
+    out = [(kind, a, b, digest(ASSIGN.fullmatch(text, a, b)[2] if kind == 0 else text[a:b])) for kind, a, b in base]
     for kind, (name, hint, pattern) in enumerate(CANDIDATES, len(KINDS)):
         if hint in text:
             for m in pattern.finditer(text):
-                if (name != "mixed" or mixed(m[1])) and not any(x[1] <= m.start(1) and m.end(1) <= x[2] for x in (*base, *out)):
-                    out.append((kind, m.start(1), m.end(1), hashlib.blake2b(m[1].encode(), digest_size=16).digest()))
+                if (name != "mixed" or mixed(m[1])) and not any(x[1] <= m.start(1) and m.end(1) <= x[2] for x in out):
+                    out.append((kind, m.start(1), m.end(1), digest(m[1])))
     return out
 
 
@@ -91,13 +99,13 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, repository: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
-    """(doc_id, base, live): the base spans and the added owner-specific spans of each document.
+    """(doc_id, base, live): the base spans and the owner-specific spans of each document.
 
-    ``live`` entries carry n_repositories and n_owners; a candidate is live if it is held by no more than
-    ``max_owners`` owners and ``max_repositories`` repositories.
+    ``live`` entries, base spans among them, carry n_repositories and n_owners; a value is live if it is held by no more
+    than ``max_owners`` owners and ``max_repositories`` repositories.
     """
     keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
-    found = scan(keys)
+    found = materialise(scan(keys), "secrets")
     single = found.filter(F.size("extra") > 0).select("doc_id", F.explode("extra").alias("x")).select("doc_id", "x.kind", "x.start", "x.stop", "x.hash")
     single = single.join(keys.select("doc_id", "repository", "owner"), "doc_id")
     rare = ownership(single).filter((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
