@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trellis.llm import decontamination, ngram_join, pieces, quality, secrets, substring_dedup, suffix_dedup, token_counts, topk
+from trellis.llm import decontamination, html_extraction, ngram_join, pieces, quality, secrets, substring_dedup, suffix_dedup, token_counts, topk
 from trellis.llm.common import ship, table
 
 
@@ -39,6 +39,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return html_extraction.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("vec_id"), topk.quantised(F.col("embedding")).alias("vector")).filter("vector is not null")
@@ -94,5 +99,5 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_quality, op5_topk_search, op6_substring_dedup, op7_sentencepiece, op8_ngram_join, op9_suffix_dedup, op10_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_quality, op4_html_extraction, op5_topk_search, op6_substring_dedup, op7_sentencepiece, op8_ngram_join, op9_suffix_dedup, op10_secret_scan)}
 ORACLE_SQL: dict[str, str] = {}
