@@ -37,6 +37,8 @@ def test_against_brute_force(spark, monkeypatch):
     assert len(want) > 60
     got = sorted(map(tuple, D.leaks(df, bench).collect()))
     assert got == sorted(want)
+    kept = D.clean(df, bench)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _ in docs} - {x[0] for x in want}
     monkeypatch.setattr(D, "ITEM_BYTES", 900)
     assert sorted(map(tuple, D.leaks(df, bench).collect())) == got
 

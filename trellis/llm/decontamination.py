@@ -106,37 +106,61 @@ def search(items: Items, hashes: np.ndarray, before: np.ndarray) -> Iterator[tup
                 yield np.repeat(row[near], count), members[j][K.ranges(lo, count)]
 
 
+def chunk_leaks(items: Items, data: np.ndarray, offsets: np.ndarray, num: int, den: int) -> Iterator[tuple[int, int, int, int]]:
+    """(row, item id, shared shingles, shingles of the item) of verified candidates."""
+    found: dict[int, set[int]] = {}
+    for rows, numbers in search(items, *document_shingles(data, offsets, items.n)):
+        for row, number in set(zip(rows.tolist(), numbers.tolist())):
+            found.setdefault(row, set()).add(number)
+    for row, numbers in found.items():
+        own = shingles(data[offsets[row] : offsets[row + 1]].tobytes(), items.n)
+        for number in numbers:
+            shared = len(items.sets[number] & own)
+            if den * shared >= num * len(items.sets[number]):
+                yield row, items.ids[number], shared, len(items.sets[number])
+
+
 def leaks_in(docs: DataFrame, items: Items, num: int, den: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
-            for lo, hi, data, offsets in K.text_chunks(batch.column(1)):
-                found: dict[int, set[int]] = {}
-                for rows, numbers in search(items, *document_shingles(data, offsets, items.n)):
-                    for row, number in set(zip(rows.tolist(), numbers.tolist())):
-                        found.setdefault(row, set()).add(number)
-                out = []
-                for row, numbers in found.items():
-                    own = shingles(data[offsets[row] : offsets[row + 1]].tobytes(), items.n)
-                    for number in numbers:
-                        shared = len(items.sets[number] & own)
-                        if den * shared >= num * len(items.sets[number]):
-                            out.append((ids[lo + row].as_py(), items.ids[number], shared, len(items.sets[number])))
+            for lo, _, data, offsets in K.text_chunks(batch.column(1)):
+                out = [(ids[lo + row].as_py(), *rest) for row, *rest in chunk_leaks(items, data, offsets, num, den)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(4)], names=["doc_id", "item_id", "n_shared", "n_item"])
 
     return docs.mapInArrow(run, LEAKS)
 
 
+def without_leaks(docs: DataFrame, items: Items, num: int, den: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            for lo, _, data, offsets in K.text_chunks(batch.column("text")):
+                keep[[lo + row for row, *_ in chunk_leaks(items, data, offsets, num, den)]] = False
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def item_blocks(items: DataFrame, n: int) -> Iterator[Items]:
+    """The items in blocks; a block never exceeds its bound by more than an item."""
+    block, size = [], 0
+    for row in items.select(F.col("item_id").cast("long").alias("item_id"), "text").toLocalIterator():  # a partition at a time
+        length = len(row.text or "")
+        if size + length > ITEM_BYTES and block:
+            yield Items(block, n)
+            block, size = [], 0
+        block.append((row.item_id, row.text))
+        size += length
+    yield Items(block, n)
+
+
 def leaks(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item) of the items whose shingles are num / den or more in the document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    blocks, size = [[]], 0
-    for row in items.toLocalIterator():  # one partition at a time; a block never exceeds its bound by more than an item
-        length = len(row.text or "")
-        if size + length > ITEM_BYTES and blocks[-1]:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.item_id, row.text))
-        size += length
-    return reduce(DataFrame.unionByName, [leaks_in(docs, Items(block, n), num, den) for block in blocks])
+    return reduce(DataFrame.unionByName, [leaks_in(docs, block, num, den) for block in item_blocks(items, n)])
+
+
+def clean(docs: DataFrame, items: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The documents, with all their columns, that hold no item; nothing is shuffled."""
+    return reduce(lambda left, block: without_leaks(left, block, num, den), item_blocks(items, n), docs)
