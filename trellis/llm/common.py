@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -44,12 +45,24 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: the lineage ends there, and a
-    lost executor costs no more than the tasks that read the table."""
+    """Write ``df`` to the shared folder and read it back: the lineage ends there, and a lost executor costs no
+    more than the tasks that read the table. The shuffle files that made it are given up at once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/trellis-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark's cleaner follows the driver's garbage collector
+    out = spark.read.schema(df.schema).parquet(path)
+    out._trellis_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote and that no later step reads."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._trellis_path)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm import kernels as K
-from trellis.llm.common import materialise
+from trellis.llm.common import materialise, release
 
 PATHS = "doc_id long, start int, n int, gram long, content long"
 EDGES = "doc_id long, pos int, gram long, edge long, weight long"
@@ -119,11 +119,14 @@ def repeated(docs: DataFrame, unit: str, k: int, gram: int, keep_first: bool) ->
     single = materialise(edges(docs, todo, unit, k), "edges")
     if keep_first:
         known = single.groupBy("gram", "edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-        part = single.join(materialise(known, "known").select("gram", "edge", "first"), ["gram", "edge"]).filter("doc_id > first")
+        known = materialise(known.select("gram", "edge", "first"), "known")
+        part = single.join(known, ["gram", "edge"]).filter("doc_id > first")
     else:
-        known = single.groupBy("gram", "edge").agg(F.sum("weight").alias("c")).filter("c > 1")
-        part = single.filter("weight = 1").join(materialise(known, "known").select("gram", "edge"), ["gram", "edge"], "left_semi")
-    return whole.unionByName(part.select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("n")))
+        known = materialise(single.groupBy("gram", "edge").agg(F.sum("weight").alias("c")).filter("c > 1").select("gram", "edge"), "known")
+        part = single.filter("weight = 1").join(known, ["gram", "edge"], "left_semi")
+    runs = materialise(whole.unionByName(part.select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("n"))), "runs")
+    release(shared, found, nodes, branching, single, known)
+    return runs
 
 
 def covered(starts: np.ndarray, counts: np.ndarray, k: int, length: int) -> np.ndarray:

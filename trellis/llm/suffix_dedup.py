@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from trellis.llm import repeats
 
-WINDOW, GRAM = 200, 64
+WINDOW, GRAM = 200, 100
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
