@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import materialise
+from trellis.llm.common import materialise, release
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,9 +23,11 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = materialise(pairs(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "large")
-        least = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        edges = materialise(pairs(small), "links")
+        lower = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
+        small = large.join(lower, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        new = materialise(pairs(small), "links")
+        release(edges, least, large, lower)
+        edges = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark:
             break

@@ -25,10 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm import kernels as K
-from trellis.llm.common import materialise
+from trellis.llm.common import materialise, release
 from trellis.llm.graph import components
 
-SKETCH = "doc_id long, n long, a long, b long, parts array<long>"
+SKETCH, KEYS = "doc_id long, n long, a long, b long", "key long, a long"
 SETS = "family long, doc_id long, blocks int, block int, shingles binary"
 BLOCK, MOST_BLOCKS, LARGEST = 128, 16, 4096
 _SALT = [K.U64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -87,24 +87,40 @@ class Parts:
         return np.concatenate(out) if out else hashes[:0]
 
 
-def sketches(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """Size, two hashes and keys of each document's set."""
+def digests(sets: list[np.ndarray], salt: np.uint64) -> np.ndarray:
+    return np.array([K.mix(x ^ salt).sum(dtype=np.uint64) for x in sets], dtype=np.uint64)
+
+
+def sketches(docs: DataFrame, n: int) -> DataFrame:
+    """Size and two hashes of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(num, den)
         for batch in batches:
             for lo, hi, data, offsets in K.text_chunks(batch.column(1)):
                 sets = list(shingle_sets(data, offsets, n))
-                keys = [parts.keys(x) for x in sets]
-                with np.errstate(over="ignore"):
-                    sums = [np.array([K.mix(x ^ salt).sum(dtype=np.uint64) for x in sets], dtype=np.uint64) for salt in _SALT[:2]]
-                ends = np.concatenate(([0], np.cumsum([len(x) for x in keys])))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(K.signed(np.concatenate(keys))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(K.signed(x)) for x in sums), lists], names=["doc_id", "n", "a", "b", "parts"])
+                hashes = [pa.array(K.signed(digests(sets, salt))) for salt in _SALT[:2]]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([len(x) for x in sets], pa.int64()), *hashes], names=["doc_id", "n", "a", "b"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
 
+def part_keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """(key, a): the keys of each document's set, with the set's first hash. Made anew for each of its two uses: a second pass over the
+    texts costs less than keys on disk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = Parts(num, den)
+        for batch in batches:
+            for _, _, data, offsets in K.text_chunks(batch.column(0)):
+                sets = [x for x in shingle_sets(data, offsets, n) if len(x)]
+                keys = [parts.keys(x) for x in sets]
+                if keys:
+                    own = np.repeat(digests(sets, _SALT[0]), [len(x) for x in keys])
+                    yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.concatenate(keys))), pa.array(K.signed(own))], names=["key", "a"])
+
+    return docs.select("text").mapInArrow(run, KEYS)
+
+
 class Index:
     """Inverted lists of the shingles of a block; ordinals are in order of set size."""
 
@@ -196,14 +212,18 @@ def links(docs: DataFrame, families: DataFrame, n: int, num: int, den: int) -> D
 def jaccard_join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
     """(doc_id, n_shingles, component_id): links are pairs of similarity num / den or more of their n-word shingle sets."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    all_sets = materialise(sketches(docs, n, num, den), "sketches")
+    all_sets = materialise(sketches(docs, n), "sketches")
     full = all_sets.filter("n > 0")
-    classes = materialise(full.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep"), F.first("parts").alias("parts")), "classes")
-    keys = classes.select("rep", F.explode("parts").alias("key"))
-    shared = materialise(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("hub")).filter("c > 1").select("key", "hub"), "keys")
-    near = keys.join(shared, "key").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    families = components(near).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    parts = materialise(components(materialise(links(docs, families, n, num, den), "forest")), "components")
-    named = classes.select("n", "a", "b", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component_id"))
-    linked = full.select("doc_id", "n", "a", "b").join(materialise(named, "named"), ["n", "a", "b"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return linked.unionByName(all_sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    classes = materialise(full.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "classes")
+    keys = part_keys(docs, n, num, den)
+    shared = materialise(keys.groupBy("key").agg(F.min("a").alias("hub"), F.max("a").alias("last")).filter("hub < last").select("key", "hub"), "keys")
+    near = materialise(keys.join(shared, "key").select("a", F.col("hub").alias("b")).distinct(), "near")
+    families = materialise(components(near).join(classes, F.col("node") == F.col("a")).select(F.col("rep").alias("doc_id"), F.col("component").alias("family")), "families")
+    release(shared, near)
+    found = materialise(links(docs, families, n, num, den), "forest")
+    parts = components(found)
+    named = materialise(classes.select("n", "a", "b", "rep").join(parts, F.col("rep") == F.col("node"), "left").select("n", "a", "b", F.coalesce("component", "rep").alias("component_id")), "named")
+    linked = full.select("doc_id", "n", "a", "b").join(named, ["n", "a", "b"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = materialise(linked.unionByName(all_sets.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), "joined")
+    release(all_sets, classes, families, found, named)
+    return out

@@ -8,7 +8,7 @@ bytes. Scores are added as doubles, exact for vocabularies of whole-number score
 
 Text is cut at every place that no piece crosses: before a run of spaces that follows another character, and around characters
 that no piece of two or more characters holds. The best path of the whole is then that of its segments, and equal
-segments of a batch are solved once. All segments advance together, one character position at a time, in numpy.
+segments are solved once (a task remembers up to ``REMEMBERED`` of them, or those of one batch). All segments advance together, one character position at a time, in numpy.
 
 Defined results: null counts as empty; an empty text has no tokens; extra columns are ignored.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from trellis.llm.pieces import loaded
 
-SPACE, UNKNOWN_PENALTY, BATCH = "▁", 10.0, 1 << 21
+SPACE, UNKNOWN_PENALTY, BATCH, REMEMBERED = "▁", 10.0, 1 << 21, 1_000_000
 COUNTS = "doc_id long, n_tokens long"
 _LOADED: dict[bytes, UnigramCounter] = {}
 
@@ -49,7 +50,7 @@ class UnigramCounter:
         joined = {c for p in table if len(p) > 1 for c in p}
         kept = "".join(re.escape(c) for c in sorted(joined - {SPACE}))
         self.segments = re.compile(f"{SPACE}*[{kept}]+|{SPACE}+|.", re.DOTALL)
-        self.bytes = {c for p in table if len(p) == 1 for c in p}
+        self.known: dict[str, int] = {}  # counts of segments met before, at most REMEMBERED of them
 
     def solve(self, segments: list[str]) -> np.ndarray:
         """The number of tokens of each (not empty) segment."""
@@ -63,7 +64,7 @@ class UnigramCounter:
             if not line.all():
                 out[~line] = self.solve([s for s in segments if s != "\n"])
             return out
-        found = np.array(list(self.automaton.iter(text)), dtype=np.int64).reshape(-1, 2)
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(text)), dtype=np.int64).reshape(-1, 2)  # in order of end, then start
         end, number, size = found[:, 0] + 1, found[:, 1] >> 6, found[:, 1] & 63
         for n, length in self.long.items():
             size[number == n] = length
@@ -78,7 +79,8 @@ class UnigramCounter:
         score = np.concatenate((self.scores[number], np.full(len(lone), self.unknown)))
         pieces = np.concatenate((np.ones(len(number), dtype=np.int64), width[lone]))
         local = end - begin[np.searchsorted(begin, end, "left") - 1]
-        order = np.lexsort((start, end, local))
+        order = np.argsort(end, kind="stable")  # merges two sorted runs
+        order = order[np.argsort(local[order].astype(np.uint16 if lengths.max() < 65536 else np.int64), kind="stable")]  # a radix sort
         start, end, score, pieces, local = (x[order] for x in (start, end, score, pieces, local))
         best = np.full(len(codes) + 1, -np.inf)
         best[begin] = 0.0
@@ -100,17 +102,15 @@ class UnigramCounter:
         return count[begin + lengths]
 
     def counts(self, texts: list[str]) -> np.ndarray:
-        known: dict[str, int] = {}
-        ids, ends = [], [0]
-        for text in texts:
-            if text:
-                normal = text.replace(" ", SPACE)
-                ids += [known.setdefault(s, len(known)) for s in self.segments.findall(SPACE + normal if self.prefix else normal)]
-            ends.append(len(ids))
-        if not known:
-            return np.zeros(len(texts), dtype=np.int64)
-        sums = np.concatenate(([0], np.cumsum(self.solve(list(known))[np.array(ids, dtype=np.int64)])))
-        return sums[ends[1:]] - sums[ends[:-1]]
+        found = [self.segments.findall((SPACE if self.prefix else "") + t.replace(" ", SPACE)) if t else [] for t in texts]
+        new = list(set(chain.from_iterable(found)).difference(self.known))
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known = {}
+            new = list(set(chain.from_iterable(found)))
+        if new:
+            self.known.update(zip(new, self.solve(new).tolist()))
+        known = self.known.__getitem__
+        return np.array([sum(map(known, x)) for x in found], dtype=np.int64)
 
 
 def counter(model: bytes) -> UnigramCounter:
