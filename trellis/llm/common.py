@@ -17,7 +17,8 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for each Spark application."""
+    """Send this package to the Python workers, once for each Spark application, and keep Arrow batches of whole texts small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     context = spark.sparkContext
     if context.applicationId in _SHIPPED:
         return

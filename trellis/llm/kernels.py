@@ -1,7 +1,7 @@
 """Array kernels over the bytes of an Arrow string column.
 
 Texts of a batch lie one after the other in one buffer. Words, shingles and windows are found and hashed with
-numpy over slices of that buffer of a few megabytes, so memory is bounded by ``CHUNK`` or one text, and no
+numpy over slices of that buffer of half a megabyte, so memory is bounded by ``CHUNK`` or one text, and no
 Python object is made for each word.
 
 A word is a run of bytes other than 0x20 and 0x09-0x0D. Hashes are polynomials over random byte values modulo
@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _SEQ_BASE = 0xD6E8FEB86659FD93 | 1

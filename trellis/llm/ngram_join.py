@@ -54,12 +54,12 @@ class Parts:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.ratio = 1.5 if 9 * den <= 10 * num else 1.25
+        self.spare = 5 if 9 * den <= 10 * num else 15  # percent of parts beyond the differences; fuller parts are rarely empty
         self.bounds = [1]
 
     def size_class(self, size: int) -> int:
         while self.bounds[-1] <= size:
-            self.bounds.append(max(self.bounds[-1] + 1, int(self.bounds[-1] * self.ratio)))
+            self.bounds.append(max(self.bounds[-1] + 1, self.bounds[-1] * 3 // 2))
         return int(np.searchsorted(self.bounds, size, "right")) - 1
 
     def differences(self, size_class: int) -> int:
@@ -78,7 +78,7 @@ class Parts:
             most = self.differences(c)
             if not most:
                 continue
-            number = most + 1 + -(-most * (5 if self.ratio == 1.5 else 15) // 100)
+            number = most + 1 + -(-most * self.spare // 100)
             part = ((hashes >> K.U64(32)) * K.U64(number)) >> K.U64(32)
             first = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
             out.append(K.mix(np.add.reduceat(content, first) + part[first] * _SALT[0] + K.U64(c + 1) * _SALT[1]))
