@@ -192,6 +192,11 @@ def rotate(v: Vec, axis: int, degrees: float) -> Vec:
     return tuple(out)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it; keeps long formulas small in the plan."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def ratio(a: Column, b: Column) -> Column:
     """a / b, null where b is 0."""
     return F.try_divide(a, b)

@@ -5,7 +5,11 @@ Only counts come to the driver. Loops end when nothing changes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions import geometry as G
@@ -107,61 +111,69 @@ def graph_distance(mesh: Mesh, start: DataFrame) -> DataFrame:
     return least_sum(edges, start.select(F.col("nid").alias("node"), F.lit(0.0).alias("value"))).withColumnRenamed("node", "nid")
 
 
-def arrival_line(t: Column, p: G.Vec, q: G.Vec) -> Column:
-    return t + F.sqrt(G.dist2(p, q))
-
-
-def arrival_triangle(x: G.Vec, a: G.Vec, b: G.Vec, ta: Column, tb: Column) -> Column:
-    """Least t(l) + |x - p(l)| over p(l) = a + l (b - a), 0 < l < 1, with t linear along the edge; null if the least is at an end."""
-    e, d = G.sub(b, a), G.sub(x, a)
-    s = tb - ta
-    ee, de, dd = G.dot(e, e), G.dot(d, e), G.dot(d, d)
-    high2 = F.greatest(dd - de * de / ee, F.lit(0.0))  # squared distance of x from the edge's line
-    slope2 = s * s / ee
-    shift = -s / F.sqrt(ee) * F.sqrt(G.ratio(high2, F.greatest(1.0 - slope2, F.lit(0.0))))
-    at = (de / F.sqrt(ee) + shift) / F.sqrt(ee)
-    return F.when((slope2 < 1.0) & (at > 0.0) & (at < 1.0), ta + at * s + F.sqrt(G.dist2(x, tuple(p + at * q for p, q in zip(a, e)))))
-
-
-def arrival_tet(x: G.Vec, a: G.Vec, b: G.Vec, c: G.Vec, ta: Column, tb: Column, tc: Column) -> Column:
-    """Arrival of a plane wave through the face abc, if its ray passes the face's inside; else null."""
-    u, v, d = G.sub(b, a), G.sub(c, a), G.sub(x, a)
-    uu, uv, vv, du, dv = G.dot(u, u), G.dot(u, v), G.dot(v, v), G.dot(d, u), G.dot(d, v)
-    det = uu * vv - uv * uv
-    p, q = tb - ta, tc - ta
-    ga, gb = G.ratio(vv * p - uv * q, det), G.ratio(uu * q - uv * p, det)  # the in-plane slowness is ga u + gb v
-    plane2 = ga * p + gb * q
-    n = G.cross(u, v)
-    high = G.ratio(F.abs(G.dot(d, n)), G.norm(n))
-    up = F.sqrt(F.greatest(1.0 - plane2, F.lit(0.0)))
-    fa, fb = G.ratio(vv * du - uv * dv, det), G.ratio(uu * dv - uv * du, det)  # foot of x in the plane
-    la, lb = fa - G.ratio(ga * high, up), fb - G.ratio(gb * high, up)
-    inside = (det > 0) & (plane2 < 1.0) & (la > 0) & (lb > 0) & (la + lb < 1)
-    return F.when(inside, ta + fa * p + fb * q + high * up)
+def arrivals(x: np.ndarray, p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """First arrival at points x of a front of unit speed with times t at p (rows of one, two or three points): the least over the
+    points, the insides of the edges between them, and the inside of their triangle."""
+    n = p.shape[1]
+    with np.errstate(all="ignore"):
+        best = (t + np.linalg.norm(x[:, None] - p, axis=2)).min(axis=1)
+        for i, j in ((0, 1), (1, 2), (0, 2)):
+            if j >= n:
+                continue
+            a, e, s, d = p[:, i], p[:, j] - p[:, i], t[:, j] - t[:, i], x - p[:, i]
+            length2, along = (e * e).sum(1), (d * e).sum(1)
+            slope2 = s * s / length2
+            high = np.sqrt(np.maximum((d * d).sum(1) - along**2 / length2, 0) / (1 - slope2))
+            at = (along - s * high) / length2
+            value = t[:, i] + at * s + np.linalg.norm(x - a - at[:, None] * e, axis=1)
+            best = np.where((slope2 < 1) & (at > 0) & (at < 1), np.fmin(best, value), best)
+        if n == 3:
+            u, v, d = p[:, 1] - p[:, 0], p[:, 2] - p[:, 0], x - p[:, 0]
+            q, r = t[:, 1] - t[:, 0], t[:, 2] - t[:, 0]
+            uu, uv, vv, du, dv = ((a * b).sum(1) for a, b in ((u, u), (u, v), (v, v), (d, u), (d, v)))
+            det = uu * vv - uv * uv
+            ga, gb = (vv * q - uv * r) / det, (uu * r - uv * q) / det  # slowness in the plane is ga u + gb v
+            plane2 = ga * q + gb * r
+            normal = np.cross(u, v)
+            high, up = np.abs((d * normal).sum(1)) / np.linalg.norm(normal, axis=1), np.sqrt(1 - plane2)
+            fa, fb = (vv * du - uv * dv) / det, (uu * dv - uv * du) / det  # foot of x in the plane
+            la, lb = fa - ga * high / up, fb - gb * high / up
+            value = t[:, 0] + fa * q + fb * r + high * up
+            best = np.where((plane2 < 1) & (la > 0) & (lb > 0) & (la + lb < 1), np.fmin(best, value), best)
+    return best
 
 
 def eikonal(mesh: Mesh, start: DataFrame) -> DataFrame:
     """(nid, value): first arrival of a front of unit speed from ``start`` (nid), 0 there.
 
-    A node's value is the least over its lines, triangles and tetrahedra of the arrivals through their opposite faces, edges
-    and nodes. All nodes are updated at once from the last round, until no value falls by more than a ten-thousandth."""
-    spots = cut(mesh.points.select("eid", "con", "pts"))
-    corners = cut(spots.select("eid", "pts", F.posexplode("con").alias("pos", "nid"), "con"))
+    A node's value is the least over its lines, triangles and tetrahedra of the arrivals through their opposite points, edges and faces; a kernel
+    solves a batch of elements at once. Elements around nodes that changed are solved anew, all from the last round's values, until no value
+    falls by more than a ten-thousandth. Unreached nodes keep 1e100."""
     far = 1e100
+    spots = cut(mesh.points.select("eid", "con", "pts"))
+    e2n = cut(spots.select("eid", F.posexplode("con").alias("pos", "nid")))
     value = cut(mesh.nodes.select("nid").join(start.select("nid", F.lit(0.0).alias("value")).distinct(), "nid", "left").select("nid", F.coalesce("value", F.lit(far)).alias("value")))
+    front = value.filter(F.col("value") < far).select("nid")
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for size, part in pdf.groupby(pdf.con.map(len)):
+                if size not in (2, 3, 4):
+                    continue
+                con = np.array(part.con.tolist())
+                p = np.array([[[q["x"], q["y"], q["z"]] for q in row] for row in part.pts])
+                t = np.array(part.t.tolist())
+                for k in range(size):
+                    rest = [i for i in range(size) if i != k]
+                    yield pd.DataFrame({"nid": con[:, k], "new": arrivals(p[:, k], p[:, rest], t[:, rest])})
+
     while True:
-        times = spots.select("eid", F.posexplode("con").alias("pos", "nid")).join(value, "nid").groupBy("eid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]).alias("t"))
-        times = times.filter(F.array_min("t") < far)
-        rows = corners.join(times, "eid")
-        others = lambda name: F.filter(F.transform(F.col(name), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["i"] != F.col("pos"))
-        rows = rows.select("nid", F.element_at("pts", F.col("pos") + 1).alias("p"), F.transform(others("pts"), lambda s: s["x"]).alias("o"), F.transform(others("t"), lambda s: s["x"]).alias("u"), F.size("con").alias("n"))
-        x, o, u = G.vec(F.col("p")), [G.at(F.col("o"), i) for i in range(3)], [F.get("u", F.lit(i)) for i in range(3)]
-        options = [F.when(F.col("n") > i + 1, arrival_line(u[i], x, o[i])) for i in range(3)]
-        options += [F.when(F.col("n") > max(i, j) + 1, arrival_triangle(x, o[i], o[j], u[i], u[j])) for i, j in ((0, 1), (1, 2), (0, 2))]
-        options += [F.when(F.col("n") == 4, arrival_tet(x, *o, *u))]
-        new = rows.groupBy("nid").agg(F.min(F.least(*options)).alias("new"))
+        touched = e2n.join(front, "nid", "left_semi").select("eid").distinct()
+        times = e2n.join(touched, "eid", "left_semi").join(value, "nid").groupBy("eid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda p: p["value"]).alias("t"))
+        new = spots.join(times, "eid").select("con", "pts", "t").mapInPandas(solve, "nid long, new double").groupBy("nid").agg(F.min("new").alias("new"))
         value = cut(value.join(new, "nid", "left").select("nid", F.least("value", F.coalesce("new", "value")).alias("value"), F.col("value").alias("old")))
-        if value.filter(F.col("old") - F.col("value") > 1e-4 * (1 + (F.col("old") + F.col("value")) / 2)).isEmpty():
+        front = value.filter(F.col("old") - F.col("value") > 1e-4 * (1 + (F.col("old") + F.col("value")) / 2)).select("nid")
+        if front.isEmpty():
             return value.select("nid", "value")
         value = value.select("nid", "value")
 

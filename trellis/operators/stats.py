@@ -139,11 +139,16 @@ def self_intersections(mesh: Mesh, slabs: int = 50) -> DataFrame:
 def ray_hit(origin: G.Vec, direction: G.Vec, pts: Column) -> Column:
     """Parameter at which a line meets a triangle; null if it doesn't."""
     a, b, c = (G.at(pts, i) for i in range(3))
-    u, v = G.sub(b, a), G.sub(c, a)
-    h = G.cross(direction, v)
-    det = G.dot(u, h)
-    s = G.sub(origin, a)
-    q = G.cross(s, u)
-    alpha, beta, t = (G.ratio(value, det) for value in (G.dot(s, h), G.dot(direction, q), G.dot(v, q)))
-    return F.when((F.abs(det) > 1e-300) & (alpha >= 0) & (beta >= 0) & (alpha + beta <= 1), t)
+    start = F.struct(*(G.point(v).alias(n) for n, v in (("o", origin), ("d", direction), ("a", a), ("u", G.sub(b, a)), ("v", G.sub(c, a)))))
 
+    def products(r: Column) -> Column:
+        d, u, v = (G.vec(r[n]) for n in "duv")
+        h, s = G.cross(d, v), G.sub(G.vec(r["o"]), G.vec(r["a"]))
+        q = G.cross(s, u)
+        return F.struct(G.dot(u, h).alias("det"), G.dot(s, h).alias("sh"), G.dot(d, q).alias("dq"), G.dot(v, q).alias("vq"))
+
+    def solve(r: Column) -> Column:
+        alpha, beta, t = (G.ratio(r[n], r["det"]) for n in ("sh", "dq", "vq"))
+        return F.when((F.abs(r["det"]) > 1e-300) & (alpha >= 0) & (beta >= 0) & (alpha + beta <= 1), t)
+
+    return G.let(G.let(start, products), solve)
