@@ -30,7 +30,7 @@ from trellis.llm.graph import components
 
 SKETCH, KEYS = "doc_id long, n long, a long, b long", "key long, a long"
 SETS = "family long, doc_id long, blocks int, block int, shingles binary"
-BLOCK, MOST_BLOCKS, LARGEST = 128, 16, 4096
+BLOCK, MOST_BLOCKS, LARGEST = 256, 6, 4096
 _SALT = [K.U64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -55,11 +55,12 @@ class Parts:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.spare = 5 if 9 * den <= 10 * num else 15  # percent of parts beyond the differences; fuller parts are rarely empty
+        self.grow = (3, 2) if self.spare == 5 else (5, 4)  # from a size class to the next
         self.bounds = [1]
 
     def size_class(self, size: int) -> int:
         while self.bounds[-1] <= size:
-            self.bounds.append(max(self.bounds[-1] + 1, self.bounds[-1] * 3 // 2))
+            self.bounds.append(max(self.bounds[-1] + 1, self.bounds[-1] * self.grow[0] // self.grow[1]))
         return int(np.searchsorted(self.bounds, size, "right")) - 1
 
     def differences(self, size_class: int) -> int:
