@@ -1,9 +1,10 @@
 """N-gram Jaccard join: exact, by T-occurrence search.
 
-Documents of equal shingle sets form a class; its member of least id stands for it. Two sets of Jaccard similarity t or
-more differ in few shingles, so if the range of hashes is cut into one part more than that number, some part of both is
-the same and not empty (sets with too many empty parts, rare, also meet under the shingles of their prefix). Classes that
-share such a part, directly or through others, form a family; no link leads out of a family.
+Documents of equal shingle sets form a class; its member of least id stands for it. All shingles have one order, rare ones first:
+by how often they occur in all documents (counted in ``CELLS`` cells of their hash, so the counts have a fixed size; any order is
+correct, a good one is fast), then by hash. Two similar sets meet in their short inverted lists: the size - T + 1 first shingles of
+each, T being the least overlap that a similar set has. Classes that meet there, directly or through others, form a family; no link
+leads out of a family, and very common shingles hardly ever make one.
 
 In a family, hash-dealt blocks meet pairwise. For each set the T-occurrence search takes the inverted lists of its shingles
 in the other block: short ones are merged, the L longest are probed by binary search for the candidates that the merge left
@@ -31,6 +32,7 @@ from trellis.llm.graph import components
 SKETCH, KEYS = "doc_id long, n long, a long, b long", "key long, a long"
 SETS = "family long, doc_id long, blocks int, block int, shingles binary"
 BLOCK, MOST_BLOCKS, LARGEST = 256, 6, 4096
+CELLS, SLICE = 1 << 21, 1 << 13
 _SALT = [K.U64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
 
 
@@ -49,43 +51,36 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> Iterator[np.n
             yield grams[:0]
 
 
-class Parts:
-    """Keys under which any two different sets of similarity num / den or more meet."""
-
-    def __init__(self, num: int, den: int):
-        self.num, self.den = num, den
-        self.spare = 5 if 9 * den <= 10 * num else 15  # percent of parts beyond the differences; fuller parts are rarely empty
-        self.grow = (3, 2) if self.spare == 5 else (5, 4)  # from a size class to the next
-        self.bounds = [1]
-
-    def size_class(self, size: int) -> int:
-        while self.bounds[-1] <= size:
-            self.bounds.append(max(self.bounds[-1] + 1, self.bounds[-1] * self.grow[0] // self.grow[1]))
-        return int(np.searchsorted(self.bounds, size, "right")) - 1
-
-    def differences(self, size_class: int) -> int:
-        """Most shingles in which a pair differs whose smaller set is of this class."""
-        largest = self.bounds[size_class + 1] - 1
-        return (largest + largest * self.den // self.num) * (self.den - self.num) // (self.den + self.num)
-
-    def keys(self, hashes: np.ndarray) -> np.ndarray:
-        size = len(hashes)
-        if not size:
-            return hashes
-        out = []
-        content = K.mix(hashes ^ _SALT[2])
-        self.size_class(size + 1)
-        for c in range(self.size_class(-(-size * self.num // self.den)), self.size_class(size) + 1):
-            most = self.differences(c)
-            if not most:
-                continue
-            number = most + 1 + -(-most * self.spare // 100)
-            part = ((hashes >> K.U64(32)) * K.U64(number)) >> K.U64(32)
-            first = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1))
-            out.append(K.mix(np.add.reduceat(content, first) + part[first] * _SALT[0] + K.U64(c + 1) * _SALT[1]))
-            if len(first) <= most:  # too many empty parts for a common one to be sure
-                out.append(K.mix(hashes[: size - -(-size * self.num // self.den) + 1] + _SALT[3]))
-        return np.concatenate(out) if out else hashes[:0]
+def prefix_keys(hashes: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The rarest shingles of a set (sorted hashes), of which similar sets share one."""
+    order = np.argsort(counts[(hashes & K.U64(CELLS - 1)).astype(np.int64)], kind="stable")
+    return K.mix(hashes[order[: len(hashes) - -(-len(hashes) * num // den) + 1]] + _SALT[3])
+
+
+def frequencies(docs: DataFrame, n: int) -> np.ndarray:
+    """Occurrences of all documents' shingles by cell: ``CELLS`` counts, whatever the input's size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, dtype=np.int32)
+        for batch in batches:
+            cells = [(x & K.U64(CELLS - 1)).astype(np.int32) for _, _, data, offsets in K.text_chunks(batch.column(0)) for x in shingle_sets(data, offsets, n)]
+            if cells:
+                at, times = np.unique(np.concatenate(cells), return_counts=True)
+                total[at] += times.astype(np.int32)
+        if total.any():
+            yield pa.RecordBatch.from_arrays([pa.array(range(CELLS // SLICE), pa.int32()), pa.array([x.tobytes() for x in total.reshape(-1, SLICE)], pa.binary())], names=["slice", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(SLICE, dtype=np.int64)
+        for x in table.column("counts"):
+            total += np.frombuffer(x.as_buffer(), dtype=np.int32)
+        return pa.table({"slice": table.column("slice")[:1], "counts": [np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()]}, schema=pa.schema([("slice", pa.int32()), ("counts", pa.binary())]))
+
+    parts = docs.select("text").mapInArrow(count, "slice int, counts binary").groupBy("slice").applyInArrow(add, "slice int, counts binary")
+    out = np.zeros((CELLS // SLICE, SLICE), dtype=np.int32)
+    for row in parts.collect():  # CELLS numbers
+        out[row.slice] = np.frombuffer(row.counts, dtype=np.int32)
+    return out.ravel()
 
 
 def digests(sets: list[np.ndarray], salt: np.uint64) -> np.ndarray:
@@ -105,16 +100,15 @@ def sketches(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, SKETCH)
 
 
-def part_keys(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
+def keys_of(docs: DataFrame, n: int, num: int, den: int, counts) -> DataFrame:
     """(key, a): the keys of each document's set, with the set's first hash. Made anew for each of its two uses: a second pass over the
-    texts costs less than keys on disk."""
+    texts costs less than keys on disk. ``counts`` is a broadcast array of ``CELLS`` numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = Parts(num, den)
         for batch in batches:
             for _, _, data, offsets in K.text_chunks(batch.column(0)):
                 sets = [x for x in shingle_sets(data, offsets, n) if len(x)]
-                keys = [parts.keys(x) for x in sets]
+                keys = [prefix_keys(x, counts.value, num, den) for x in sets]
                 if keys:
                     own = np.repeat(digests(sets, _SALT[0]), [len(x) for x in keys])
                     yield pa.RecordBatch.from_arrays([pa.array(K.signed(np.concatenate(keys))), pa.array(K.signed(own))], names=["key", "a"])
@@ -216,7 +210,7 @@ def jaccard_join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> Da
     all_sets = materialise(sketches(docs, n), "sketches")
     full = all_sets.filter("n > 0")
     classes = materialise(full.groupBy("n", "a", "b").agg(F.min("doc_id").alias("rep")), "classes")
-    keys = part_keys(docs, n, num, den)
+    keys = keys_of(docs, n, num, den, docs.sparkSession.sparkContext.broadcast(frequencies(docs, n)))
     shared = materialise(keys.groupBy("key").agg(F.min("a").alias("hub"), F.max("a").alias("last")).filter("hub < last").select("key", "hub"), "keys")
     near = materialise(keys.join(shared, "key").select("a", F.col("hub").alias("b")).distinct(), "near")
     families = materialise(components(near).join(classes, F.col("node") == F.col("a")).select(F.col("rep").alias("doc_id"), F.col("component").alias("family")), "families")
