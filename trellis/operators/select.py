@@ -248,7 +248,7 @@ def uniform_refinement(mesh: Mesh) -> Mesh:
     c, m = F.col("con"), F.col("mid")
     tri = [(c[0], m[0], m[2]), (m[0], m[1], m[2]), (m[0], c[1], m[1]), (m[2], m[1], c[2])]
     a, d, f, b, cc, e = (m[i] for i in range(6))  # edges 12 23 13 14 24 34
-    tet = [(c[0], a, f, b), (a, c[1], d, cc), (d, c[2], f, e), (a, d, f, cc), (cc, d, e, f), (a, cc, b, f), (f, e, b, cc), (b, cc, e, c[3])]
+    tet = [(c[0], a, f, b), (a, c[1], d, cc), (d, c[2], f, e), (a, d, f, cc), (d, cc, e, f), (cc, a, b, f), (f, e, b, cc), (b, cc, e, c[3])]  # all of the parent's orientation
     rows = lambda t: F.array(*(F.array(*x) for x in t))
     children = F.when(F.col("etype") == "Tr", rows(tri)).when(F.col("etype") == "Tt", rows(tet))
     out = mesh.elements.join(mids, "eid").select("eid", "etype", "tag", "fib", F.posexplode(children).alias("k", "con")).withColumn("eid", F.col("eid") * 8 + F.col("k"))

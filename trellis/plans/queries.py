@@ -784,12 +784,12 @@ def fillup_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series.hold_from(hosts.event_series(spark, sf_dir), 10))
 
 
-@query(f"SELECT u AS t, idx, {R('value', 'value')} FROM (SELECT max(t) + 1 AS total FROM ev), LATERAL (SELECT unnest(range(4 + 2 * (total - 4) + 1)) AS u), ev WHERE t = CASE WHEN u <= 3 THEN u ELSE 4 + (u - 4) % (total - 4) END")
+@query(f"SELECT u AS t, idx, {R('value', 'value')} FROM (SELECT max(t) + 1 AS total FROM ev), LATERAL (SELECT unnest(range(4 + 2 * (total - 4))) AS u), ev WHERE t = CASE WHEN u <= 3 THEN u ELSE 4 + (u - 4) % (total - 4) END")
 def series_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series.periodic(hosts.event_series(spark, sf_dir), 2, 3))
 
 
-@query(f"SELECT CAST(t AS BIGINT) AS t, idx, {R('v', 'v')}, {R('w', 'w')} FROM (SELECT DISTINCT idx FROM ev), (SELECT unnest(range(max(t) + 1)) AS t FROM ev) LEFT JOIN (SELECT t, idx, value AS v FROM ev) USING (t, idx) LEFT JOIN (SELECT idx, sum(value) AS w FROM ev GROUP BY idx) USING (idx)")
+@query(f"SELECT CAST(t AS BIGINT) AS t, idx, {R('v', 'v')}, {R('w', 'w')} FROM (SELECT * FROM (SELECT DISTINCT idx FROM ev), (SELECT unnest(range(max(t) + 1)) AS t FROM ev)) LEFT JOIN (SELECT t, idx, value AS v FROM ev) USING (t, idx) LEFT JOIN (SELECT idx, sum(value) AS w FROM ev GROUP BY idx) USING (idx)")
 def collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = hosts.event_series(spark, sf_dir)
     total = data.groupBy("idx").agg(F.sum("value").alias("value"))
@@ -808,7 +808,7 @@ def deactivate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series.deactivate(data, data.filter("idx % 3 = 0").select("idx")))
 
 
-@query(f"SELECT CAST(t AS BIGINT) AS t, CAST(b.idx AS BIGINT) AS idx, {R('coalesce(CASE WHEN b.idx % 2 = 0 THEN e.value END, CASE WHEN b.idx % 3 = 0 THEN e.value * 10 END, 0.0)', 'value')} FROM (SELECT DISTINCT t FROM ev), (SELECT unnest(range(200)) AS idx) b LEFT JOIN ev e USING (t, idx)")
+@query(f"SELECT CAST(t AS BIGINT) AS t, CAST(b.idx AS BIGINT) AS idx, {R('coalesce(CASE WHEN b.idx % 2 = 0 THEN e.value END, CASE WHEN b.idx % 3 = 0 THEN e.value * 10 END, 0.0)', 'value')} FROM (SELECT t, idx FROM (SELECT DISTINCT t FROM ev), (SELECT unnest(range(200)) AS idx)) b LEFT JOIN ev e USING (t, idx)")
 def combine_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = hosts.event_series(spark, sf_dir)
     mapping = data.select("idx").distinct().select((F.col("idx") + 1000).alias("sub_idx"), F.col("idx").alias("mesh_idx"))
