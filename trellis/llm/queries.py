@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from trellis.llm import decontamination, html_extraction, ngram_join, pieces, quality, secrets, substring_dedup, suffix_dedup, token_counts, topk
 from trellis.llm.common import ship, table
+from trellis.llm.oracle import ORACLE_SQL
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 
 def piece_model(name: str = "piece_bpe_32k.model") -> bytes:
@@ -100,4 +103,3 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_quality, op4_html_extraction, op5_topk_search, op6_substring_dedup, op7_sentencepiece, op8_ngram_join, op9_suffix_dedup, op10_secret_scan)}
-ORACLE_SQL: dict[str, str] = {}
