@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,12 +17,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="trellis-checkpoint-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(found)
     return found
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder: what follows starts from the files, on any executor."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back: what follows starts from the files, on any executor.
+
+    A written table, not ``checkpoint()``, because a checkpointed plan keeps its size estimate; in a loop of joins the estimates
+    multiply until planning, not work, takes the time."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/trellis-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
