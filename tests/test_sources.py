@@ -11,7 +11,7 @@ def rows(mesh, fib=True):
     return sorted(map(tuple, mesh.nodes.select("nid", "x", "y", "z").collect())), sorted((tuple(tuple(x) if isinstance(x, list) else x for x in r) for r in e.collect()))
 
 
-@pytest.mark.parametrize(("name", "fmt"), [("m", "carp_txt"), ("m", "carp_bin"), ("m.vtk", None), ("m.vtu", None)])
+@pytest.mark.parametrize(("name", "fmt"), [("m", "text"), ("m", "binary"), ("m.vtk", None), ("m.vtu", None)])
 def test_mesh_round_trip(spark, tmp_path, name, fmt):
     mesh = block(spark)
     meshio.write_mesh(mesh, f"{tmp_path}/{name}", fmt)

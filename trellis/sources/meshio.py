@@ -480,23 +480,23 @@ def read_stellar(spark: SparkSession, base: str) -> Mesh:
 # ---- dispatch
 
 READERS = {
-    "carp_txt": read_text, "carp_bin": read_binary, "stellar": read_stellar,
+    "text": read_text, "binary": read_binary, "stellar": read_stellar,
     **{name: (lambda spark, base, e=ext, f=parse: table(spark, base if base.endswith(e) else base + e, f)) for name, ext, parse in (("vtk", ".vtk", parse_vtk), ("vtu", ".vtu", parse_vtu), ("mmg", ".mesh", parse_medit), ("obj", ".obj", parse_obj), ("netgen", ".neu", parse_neutral))},
 }
-WRITERS = {"carp_txt": write_text, "carp_bin": write_binary, "vtk": lambda m, b: write_vtk(m, b if b.endswith(".vtk") else b + ".vtk"), "vtu": lambda m, b: write_vtu(m, b if b.endswith(".vtu") else b + ".vtu"), "obj": lambda m, b: write_obj(m, b if b.endswith(".obj") else b + ".obj")}
-EXTENSIONS = {".vtk": "vtk", ".vtu": "vtu", ".mesh": "mmg", ".obj": "obj", ".neu": "netgen", ".belem": "carp_bin", ".elem": "carp_txt", ".node": "stellar"}
+WRITERS = {"text": write_text, "binary": write_binary, "vtk": lambda m, b: write_vtk(m, b if b.endswith(".vtk") else b + ".vtk"), "vtu": lambda m, b: write_vtu(m, b if b.endswith(".vtu") else b + ".vtu"), "obj": lambda m, b: write_obj(m, b if b.endswith(".obj") else b + ".obj")}
+EXTENSIONS = {".vtk": "vtk", ".vtu": "vtu", ".mesh": "mmg", ".obj": "obj", ".neu": "netgen", ".belem": "binary", ".elem": "text", ".node": "stellar"}
 
 
 def read_mesh(spark: SparkSession, path: str, fmt: str | None = None) -> Mesh:
     """By name of the format, else by extension, else binary if it is there, else text."""
     ext = Path(path).suffix
-    fmt = fmt or EXTENSIONS.get(ext) or ("carp_bin" if exists(spark, f"{path}.belem") else "carp_txt")
-    base = path[: -len(ext)] if fmt in ("carp_txt", "carp_bin", "stellar") and ext in EXTENSIONS else path
+    fmt = fmt or EXTENSIONS.get(ext) or ("binary" if exists(spark, f"{path}.belem") else "text")
+    base = path[: -len(ext)] if fmt in ("text", "binary", "stellar") and ext in EXTENSIONS else path
     return READERS[fmt](spark, base)
 
 
 def write_mesh(mesh: Mesh, path: str, fmt: str | None = None) -> None:
     ext = Path(path).suffix
-    fmt = fmt or EXTENSIONS.get(ext) or "carp_txt"
-    base = path[: -len(ext)] if fmt in ("carp_txt", "carp_bin") and ext in EXTENSIONS else path
+    fmt = fmt or EXTENSIONS.get(ext) or "text"
+    base = path[: -len(ext)] if fmt in ("text", "binary") and ext in EXTENSIONS else path
     WRITERS[fmt](mesh, base)
