@@ -36,3 +36,9 @@ def test_redact(spark):
 
 def test_empty_table(spark):
     assert secrets.scan_secrets(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_capitals_inside_the_keyword_only(spark):
+    texts = ["passWord: hunter22", "toKEN=abcdef1", "sEcret: 1234567", "apI_key: abcdef1", "paSswd=hunter22"]
+    df = spark.createDataFrame([(i, t, "a") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    assert {r.doc_id: [tuple(x) for x in r.base] for r in secrets.scan_secrets(df).collect()} == {i: [(0, 0, len(t))] for i, t in enumerate(texts)}

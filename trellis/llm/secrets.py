@@ -53,7 +53,7 @@ def mixed(value: str) -> bool:
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, stop) by start, then kind."""
-    low = text.lower() if not text.isascii() or any(x in text for x in ("P", "S", "T", "A")) else text
+    low = text.lower()
     spans = [(2, m.start(), m.end()) for m in HEX.finditer(text)]
     if "AKIA" in text:
         spans += [(1, m.start(), m.end()) for m in ACCESS.finditer(text)]
