@@ -46,3 +46,13 @@ def test_against_brute_force(spark, seed, vocabulary, k):
 
 def test_empty_table(spark):
     assert substring_dedup.dedup_words(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_document_that_repeats_a_passage_of_another_in_the_same_surroundings(spark):
+    rng = random.Random(4)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, around = some(120), [some(60), some(60)]
+    rows = [(3, " ".join(some(60) + passage + some(60))), (5, " ".join((around[0] + passage + around[1]) * 4)), (9, " ".join(around[0] + passage + some(60)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.dedup_words(docs, 50, 25).collect()}
+    assert got == brute(rows, 50)

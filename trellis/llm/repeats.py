@@ -24,7 +24,7 @@ from trellis.llm import kernels as K
 from trellis.llm.common import materialise, release
 
 PATHS = "doc_id long, start int, n int, gram long, content long"
-EDGES = "doc_id long, pos int, gram long, edge long, weight long"
+EDGES = "doc_id long, pos int, gram long, edge long, weight long, offset int, n int, content long"
 
 
 def elements(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[K.Rolling, np.ndarray]:
@@ -72,7 +72,7 @@ def paths(docs: DataFrame, unit: str, k: int, gram: int) -> DataFrame:
 
 
 def edges(docs: DataFrame, todo: DataFrame, unit: str, k: int) -> DataFrame:
-    """The single windows of the representative paths in ``todo`` (doc_id, paths)."""
+    """The single windows of the representative paths in ``todo`` (doc_id, paths), with offset, windows and content of their path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,11 +84,13 @@ def edges(docs: DataFrame, todo: DataFrame, unit: str, k: int) -> DataFrame:
                 own = slice(ends[lo], ends[hi])
                 row = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
                 n = count[own].astype(np.int64)
-                at = K.ranges(before[row] + first[own], n)
-                row, gram_of, weight_of = (np.repeat(x, n) for x in (row, gram[own], weight[own]))
+                start = before[row] + first[own]
+                at = K.ranges(start, n)
+                content = K.signed(roll.slices(start, start + n + k - 1))
+                row, start, n_of, content, gram_of, weight_of = (np.repeat(x, n) for x in (row, start, count[own], content, gram[own], weight[own]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi][row]), pa.array((at - before[row]).astype(np.int32)), pa.array(gram_of), pa.array(K.signed(roll.slices(at, at + k))), pa.array(weight_of)],
-                    names=["doc_id", "pos", "gram", "edge", "weight"],
+                    [pa.array(ids[lo:hi][row]), pa.array((at - before[row]).astype(np.int32)), pa.array(gram_of), pa.array(K.signed(roll.slices(at, at + k))), pa.array(weight_of), pa.array((at - start).astype(np.int32)), pa.array(n_of), pa.array(content)],
+                    names=["doc_id", "pos", "gram", "edge", "weight", "offset", "n", "content"],
                 )
 
     return docs.select("doc_id", "text").join(todo, "doc_id").select("doc_id", "text", "paths").mapInArrow(run, EDGES)
@@ -116,11 +118,14 @@ def repeated(docs: DataFrame, unit: str, k: int, gram: int, keep_first: bool) ->
     branching = materialise(nodes.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1").select("gram"), "branching")
     todo = nodes.join(branching, "gram", "left_semi")
     todo = todo.groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("rep.start").alias("start"), "n", "gram", "weight")).alias("paths"))
-    single = materialise(edges(docs, todo, unit, k), "edges")
+    single = edges(docs, todo, unit, k)
+    single = materialise(single if keep_first else single.drop("offset", "n", "content"), "edges")
     if keep_first:
         known = single.groupBy("gram", "edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
         known = materialise(known.select("gram", "edge", "first"), "known")
         part = single.join(known, ["gram", "edge"]).filter("doc_id > first")
+        # a path may occur again in its representative's own document: its windows go there too
+        part = part.select("doc_id", "gram", "content", "n", "offset").join(found, ["doc_id", "gram", "content", "n"]).select("doc_id", (F.col("start") + F.col("offset")).alias("pos"))
     else:
         known = materialise(single.groupBy("gram", "edge").agg(F.sum("weight").alias("c")).filter("c > 1").select("gram", "edge"), "known")
         part = single.filter("weight = 1").join(known, ["gram", "edge"], "left_semi")
