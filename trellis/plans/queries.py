@@ -813,7 +813,9 @@ def combine_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     data = hosts.event_series(spark, sf_dir)
     mapping = data.select("idx").distinct().select((F.col("idx") + 1000).alias("sub_idx"), F.col("idx").alias("mesh_idx"))
     part = lambda k, f: data.filter(F.col("idx") % k == 0).select("t", (F.col("idx") + 1000).alias("idx"), (F.col("value") * f).alias("value"))
-    return rounded(series.combine(spark.range(200).withColumnRenamed("id", "idx"), [(part(3, 10.0), mapping), (part(2, 1.0), mapping)]))
+    # the SQL's base mesh ends at id 199; this one goes on to the last user
+    base = data.agg(F.max("idx").alias("last")).select(F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(199).cast("long"), "last"))).alias("idx"))
+    return rounded(series.combine(base, [(part(3, 10.0), mapping), (part(2, 1.0), mapping)]))
 
 
 @query(_NORMAL + f", rw AS (SELECT t, eid, nx, ny, nz, area FROM un, range(3) r(t)) SELECT t, {R('sum(sqrt(((t+1)*nx + 0.5*ny)*((t+1)*nx + 0.5*ny) + (0.5*nx + 2*ny)*(0.5*nx + 2*ny) + (eid % 5 * nz)*(eid % 5 * nz)) * area)', 'value')} FROM rw GROUP BY t")
