@@ -253,7 +253,7 @@ def resample_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def resample_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume is kept and no edge is longer than the limit; which edges are cut depends on the rounds, so there is no SQL."""
-    fine = select.resample(hosts.box_mesh(spark, sf_dir, F.col("i") < 4), 1.6)
+    fine = select.resample(hosts.box_mesh(spark, sf_dir), 1.6)
     p = [G.at(F.col("pts"), i) for i in range(4)]
     longest = stats.edge_lengths(fine).agg(F.sqrt(F.max("len2")).alias("longest"))
     return rounded(fine.points.agg(F.count("*").alias("n_elements"), F.sum(G.signed_tet_volume(*p)).alias("total")).crossJoin(longest))
@@ -666,7 +666,7 @@ def interpolate_cloud_local(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def interpolate_cloud_rbf(spark: SparkSession, sf_dir: str) -> DataFrame:
     cloud = hosts.point_cloud(spark, sf_dir)
-    points = cloud.filter("nid % 3 = 0").select(F.col("nid").alias("idx"), (F.col("x") + 0.01).alias("x"), "y", "z")
+    points = cloud.select(F.col("nid").alias("idx"), (F.col("x") + 0.01).alias("x"), "y", "z")
     return rounded(interpolation.interpolate_clouddata(points, cloud, 2))
 
 
