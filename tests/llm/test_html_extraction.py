@@ -34,3 +34,9 @@ def test_unclosed_quotes_and_deep_pages_end():
 
 def test_empty_table(spark):
     assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_constant_texts_inside_article_go(spark):
+    rows = [(i, f"http://d.example/{i}", page(i, f"<article><p class=x>Posted by the desk</p><p>Story {i} tells.</p><p class=y>Written to our standards</p></article>")) for i in range(8)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} tells." for i in range(8)}

@@ -3,10 +3,9 @@
 A page is a sequence of tokens: element starts and blocks of text, each under its path of elements. A token's occurrence
 vector over the distinct pages of a host is kept as an exclusive-or of page marks and counts, so that equal vectors have
 equal digests and any number of pages of a host is summed up in parts. Tokens of a host with the same vector and enough
-support form an equivalence class; a class is valid if its tokens are in one order and its counts are the same on every page
-(sub-classes nest where their elements lie). Valid classes are the host's template: its constant texts are
-boilerplate, and its elements bound the slots that data fills. The main slot is the article element if the template has one,
-else the slot that holds most text over the host's pages; elements that by name or class hold menus, headers, footers,
+support form an equivalence class; a class is valid if its counts are the same on every page. Valid classes are the host's
+template: its constant texts are boilerplate. The main slot is the page's article or main element if it has one,
+else the one container path that holds most text over the host's pages (classes don't nest, nor bound it); elements that by name or class hold menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles or reader comments are left out of it.
 
 A host's template is a few hundred tokens whatever its number of pages. Pages are joined with their host's template; Spark
@@ -201,9 +200,10 @@ def templates(pages: DataFrame) -> DataFrame:
 def main_text(page: Page, texts: frozenset[int]) -> str:
     """The blocks of the main slot, joined by a space."""
     blocks = [(node, text) for node, text in page.blocks if not node.aside]
-    if any(node.article for node, _ in blocks):
-        return " ".join(text for node, text in blocks if node.article)
+    article = any(node.article for node, _ in blocks)
     blocks = [(node, text) for node, text in blocks if text_key(node, text) not in texts]
+    if article:
+        return " ".join(text for node, text in blocks if node.article)
     inside = [text for node, text in blocks if node.slot]
     if not inside:  # the page doesn't follow its host: its own fullest slot
         mass: Counter[int] = Counter()
