@@ -56,3 +56,12 @@ def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert D.leaks(docs, items).count() == 0
     assert D.leaks(spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string"), items).count() == 0
+
+
+def test_items_of_few_shingles_are_found(spark):
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    items = [(i, " ".join(words(5 + i % 4))) for i in range(1200)]
+    docs = [(i, f"{t} {' '.join(words(60))}") for i, t in items]
+    got = D.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(i, i, 1 + i % 4, 1 + i % 4) for i in range(1200)]

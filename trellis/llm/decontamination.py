@@ -57,7 +57,7 @@ class Items:
             if found:
                 _, _, data, offsets = next(K.text_chunks(pa.array([text])))
                 hashed.append(document_shingles(data, offsets, n)[0])
-                sizes.setdefault(max(3, int(len(found) - 1).bit_length()), []).append(len(self.ids))
+                sizes.setdefault((len(found) - 1).bit_length(), []).append(len(self.ids))
                 self.ids.append(item)
                 self.sets.append(found)
         for size, members in sorted(sizes.items()):
