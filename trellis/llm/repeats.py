@@ -1,10 +1,10 @@
 """Windows of k elements (words or bytes) that occur more than once in a corpus.
 
-The k-windows are the edges of a De Bruijn graph over (k-1)-element nodes. Edges in a row that share a minimiser
-(the least hashed gram of ``gram`` elements inside the window) form a path without branches; equal windows have
+This is not De Bruijn compaction: no nodes or degrees are computed. Windows (here edges) in a row that share a minimiser
+(the least hashed gram of ``gram`` elements inside the window) form a path; equal windows have
 equal minimisers, so a path meets its repeats under its minimiser's key. Per key, paths of equal content collapse
 first (partial aggregation, so thousands of copies cost one row for each task). Only where several different
-paths share a minimiser does the graph branch; there the single edges of one representative of each path are
+paths share a minimiser are they branching; there the single edges of one representative of each path are
 compared. All comparisons are exact up to 128 bits of hash (minimiser and content); coordinates (row id, first
 element) lead from each path back to its source.
 
