@@ -78,14 +78,39 @@ def test_search_is_exact():
 @pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
 def test_similar_sets_share_a_key(num, den):
     rng = np.random.default_rng(2)
-    parts = ngram_join.Parts(num, den)
+    level = rng.integers(0, 9, 1 << ngram_join.SKETCH_BITS).astype(np.uint8)
+    links = 0
     for _ in range(3000):
         a = np.unique(rng.integers(0, 2**64, rng.integers(2, 400), dtype=np.uint64))
         drop = rng.integers(0, max(1, int(len(a) * (1 - num / den))) + 1)
         b = np.unique(np.concatenate((rng.permutation(a)[drop:], rng.integers(0, 2**64, rng.integers(0, max(1, len(a) // 12) + 1), dtype=np.uint64))))
         both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
-        if den * both >= num * either and both < either:
-            assert set(parts.keys(a).tolist()) & set(parts.keys(b).tolist())
+        if den * both >= num * either:
+            links += 1
+            assert set(ngram_join.prefix(a, level, num, den).tolist()) & set(ngram_join.prefix(b, level, num, den).tolist())
+            assert ngram_join.near(np.array([[len(a)], [len(b)]]), [[ngram_join.signature(a)], [ngram_join.signature(b)]], num, den).all()
+    assert links > 500
+
+
+@pytest.mark.parametrize("wide", [2, 64])
+def test_chain_of_near_misses(spark, monkeypatch, wide):
+    """Texts in a row share most of their words, the ends none; long shared passages join texts that are no links."""
+    monkeypatch.setattr(ngram_join, "WIDE", wide)
+    monkeypatch.setattr(ngram_join, "BLOCK", 10)
+    rng = random.Random(5)
+    words = [f"c{rng.randrange(10**6)}" for _ in range(900)]
+    rows = [(i, " ".join(words[8 * i : 8 * i + 100])) for i in range(90)] + [(100 + i, " ".join(words[2 * i : 2 * i + 100])) for i in range(20, 60)]
+    rows += [(200 + i, " ".join(words[:60] + [f"u{i}w{k}" for k in range(i)])) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    for n, num, den in ((3, 9, 10), (5, 4, 5)):
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(df, n, num, den).collect()} == brute(rows, n, num, den)
+
+
+def test_null_and_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (2, a + " x"), (3, b), (4, b + " y"), (5, a), (5, b), (6, b), (6, b), (None, a), (None, "alone"), (7, "z")]
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted([(1, 38, 1), (2, 39, 1), (3, 38, 1), (4, 39, 1), (5, 38, 1), (5, 38, 1), (6, 38, 1), (6, 38, 1), (None, 38, None), (None, 1, None), (7, 1, 7)], key=str)
 
 
 def test_components(spark):

@@ -21,15 +21,14 @@ def components(links: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = materialise(pairs(both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))), "large")
-        lower = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "least")
-        small = large.join(lower, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         new = materialise(pairs(small), "links")
-        release(edges, least, large, lower)
+        release(edges, large)
         edges = new
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == mark:
+        if now == mark or not now[0]:
             break
         mark = now
     return every.join(edges.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").withColumn("component", F.coalesce("component", "node"))
