@@ -5,7 +5,7 @@ All but the last return the columns of ``documents``:
 
 1. quality: documents that the classifier rejects go; empty and null texts are scored like others.
 2. near_duplicates: of documents linked by similar 5-word shingle sets (Jaccard 0.8 or more) the least id stays;
-   documents without words are linked with nothing and stay.
+   documents without words and rows of a null doc_id are linked with nothing and stay.
 3. decontamination: documents that hold 0.8 or more of a benchmark item's 5-word shingles go.
 4. secrets: spans of secrets, base and live, become ``[secret]``; n_chars follows; no document goes.
 5. pieces: the ids of every whole text, begin and end ids included, and a digest of the decoded text.
@@ -28,7 +28,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     joined = ngram_join.jaccard_join(docs, n=5, num=4, den=5)
-    return docs.join(joined.filter("doc_id = component_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return docs.join(joined.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
