@@ -92,18 +92,34 @@ def test_similar_sets_share_a_key(num, den):
     assert links > 500
 
 
-@pytest.mark.parametrize("wide", [2, 64])
-def test_chain_of_near_misses(spark, monkeypatch, wide):
+def test_plausible_forest():
+    rng = np.random.default_rng(4)
+    base = [np.unique(rng.integers(0, 2**64, size, dtype=np.uint64)) for size in (30, 33, 200, 210, 230)]
+    sets = [np.unique(np.concatenate((b[int(k) :], rng.integers(0, 2**64, k, dtype=np.uint64)))) for b in base for k in rng.integers(0, 12, 20)]
+    sizes, bits = np.array([len(x) for x in sets]), [ngram_join.signature(x) for x in sets]
+    for num, den in ((9, 10), (4, 5)):
+        label = list(range(len(sets)))
+        for x, y in ngram_join.plausible_forest(sizes, bits, num, den):
+            assert label[x] != label[y]
+            label = [label[x] if v == label[y] else v for v in label]
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if den * len(np.intersect1d(a, b)) >= num * len(np.union1d(a, b)):
+                    assert label[i] == label[j]
+
+
+@pytest.mark.parametrize(("wide", "widest", "measure"), [(2, 8, (3, 9, 10)), (2, 8192, (5, 4, 5))])
+def test_chain_of_near_misses(spark, monkeypatch, wide, widest, measure):
     """Texts in a row share most of their words, the ends none; long shared passages join texts that are no links."""
     monkeypatch.setattr(ngram_join, "WIDE", wide)
+    monkeypatch.setattr(ngram_join, "WIDEST", widest)
     monkeypatch.setattr(ngram_join, "BLOCK", 10)
     rng = random.Random(5)
     words = [f"c{rng.randrange(10**6)}" for _ in range(900)]
     rows = [(i, " ".join(words[8 * i : 8 * i + 100])) for i in range(90)] + [(100 + i, " ".join(words[2 * i : 2 * i + 100])) for i in range(20, 60)]
     rows += [(200 + i, " ".join(words[:60] + [f"u{i}w{k}" for k in range(i)])) for i in range(30)]
     df = spark.createDataFrame(rows, "doc_id int, text string")
-    for n, num, den in ((3, 9, 10), (5, 4, 5)):
-        assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(df, n, num, den).collect()} == brute(rows, n, num, den)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_join(df, *measure).collect()} == brute(rows, *measure)
 
 
 def test_null_and_repeated_ids(spark):

@@ -37,7 +37,7 @@ from trellis.llm.common import materialise, release
 from trellis.llm.graph import components
 
 SKETCH_BITS, MEMBER_BITS = 18, 24
-WIDE, BLOCK, BLOCK_SHINGLES, LARGEST = 64, 256, 1 << 18, 4096
+WIDE, WIDEST, BLOCK, BLOCK_SHINGLES, LARGEST = 64, 8192, 256, 1 << 18, 4096
 LEAST_BITS, MOST_BITS = 6, 14
 SETS = "doc_id long, n long, a long, b long, bits binary"
 _SALT = [K.U64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
@@ -153,12 +153,82 @@ def near(sizes: np.ndarray, bits: list[list[bytes]], num: int, den: int) -> np.n
     return out
 
 
+class Signatures:
+    """The signatures of some sets, by their width."""
+
+    def __init__(self, sizes: np.ndarray, bits: list[bytes], num: int, den: int):
+        self.sizes, self.num, self.den = sizes, num, den
+        widths = np.array([len(x) for x in bits])
+        self.parts = []
+        for width in np.unique(widths):
+            at = np.flatnonzero(widths == width)
+            self.parts.append((at, np.frombuffer(b"".join(bits[i] for i in at), dtype=np.uint8).reshape(len(at), -1)))
+        self.own = {int(i): matrix[k] for at, matrix in self.parts for k, i in enumerate(at)}
+
+    def like(self, one: int) -> np.ndarray:
+        """The sets that may be similar to set ``one``, itself among them."""
+        out = []
+        for at, matrix in self.parts:
+            total = self.sizes[at] + self.sizes[one]
+            width = min(matrix.shape[1], len(self.own[one]))
+            far = np.bitwise_count(np.ascontiguousarray(folded(matrix, width) ^ folded(self.own[one][None], width)).view(np.uint64)).sum(axis=1)
+            fits = np.minimum(self.sizes[at], self.sizes[one]) * self.den >= np.maximum(self.sizes[at], self.sizes[one]) * self.num
+            out.append(at[fits & (far <= total - 2 * -(-self.num * total // (self.num + self.den)))])
+        return np.concatenate(out)
+
+
+def plausible_forest(sizes: np.ndarray, bits: list[bytes], num: int, den: int) -> list[tuple[int, int]]:
+    """Pairs (ordinals) that join up what pairs of possibly similar sets join."""
+    known = Signatures(sizes, bits, num, den)
+    label = np.arange(len(sizes))
+    asked = np.zeros(len(sizes), dtype=bool)
+    out = []
+    while True:
+        count = np.bincount(label, minlength=len(sizes))
+        todo = np.flatnonzero(~asked & (label != count.argmax()) if asked.any() else ~asked)
+        if not len(todo):
+            return out
+        one = int(todo[0])
+        asked[one] = True
+        for part in np.unique(label[known.like(one)]):
+            if part != label[one]:
+                out.append((one, int(np.flatnonzero(label == part)[0])))
+                label[label == part] = label[one]
+
+
+def wide_forests(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): forests of the plausible pairs in each key of ``rows`` (key, rep, n, bits), which are sorted by key in their partitions."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            reps = table.column("rep").to_numpy()
+            found = plausible_forest(table.column("n").to_numpy(), table.column("bits").to_pylist(), num, den)
+            return pa.RecordBatch.from_arrays([pa.array([int(reps[x[k]]) for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for batch in batches:
+            keys = batch.column("key").to_numpy()
+            cut = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for lo, hi in zip(cut, cut[1:]):
+                if held and hi > lo and held[0].column("key")[0].as_py() != keys[lo]:
+                    yield flush()
+                    held.clear()
+                if hi > lo:
+                    held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield flush()
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def plausible(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """(a, b): pairs of class members of least id that hold every link between classes, joined up where a shingle is in many prefixes."""
     keys = prefix_keys(docs, levels(docs, n), n, num, den)
     shared = materialise(keys.groupBy("key").agg(F.min("a").alias("lo"), F.max("a").alias("hi")).filter("lo < hi").select("key"), "keys")
     members = materialise(keys.join(shared, "key", "left_semi").distinct(), "members")
-    wide = materialise(members.groupBy("key").agg(F.count("*").alias("c"), F.min("a").alias("hub")).filter(F.col("c") > WIDE).select("key", "hub"), "wide")
+    wide = materialise(members.groupBy("key").agg(F.count("*").alias("c"), F.min("a").alias("hub")).filter(F.col("c") > WIDE), "wide")
     few = members.join(wide, "key", "left_anti")
     left, right = few.select("key", F.col("a").alias("x"), F.col("n").alias("nx")), few.select("key", F.col("a").alias("y"), F.col("n").alias("ny"))
     fits = (F.col("x") < F.col("y")) & (F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
@@ -173,9 +243,11 @@ def plausible(docs: DataFrame, classes: DataFrame, n: int, num: int, den: int) -
 
     checked = pairs.join(with_bits("x"), "x").join(with_bits("y"), "y").mapInArrow(check, "a long, b long")
     reps = classes.select("a", "rep")
-    stars = members.join(wide, "key").filter("a <> hub").select("a", "hub").distinct().join(reps, "a").select("hub", F.col("rep").alias("b"))
+    in_wide = members.join(wide.filter(F.col("c") <= WIDEST).select("key"), "key", "left_semi").select("key", "a").join(classes.select("a", "rep", "n", "bits"), "a")
+    joined = wide_forests(in_wide.select("key", "rep", "n", "bits").repartition("key").sortWithinPartitions("key", "rep"), num, den).distinct()
+    stars = members.join(wide.filter(F.col("c") > WIDEST).select("key", "hub"), "key").filter("a <> hub").select("a", "hub").distinct().join(reps, "a").select("hub", F.col("rep").alias("b"))
     stars = stars.join(reps.withColumnRenamed("a", "hub"), "hub").select(F.col("rep").alias("a"), "b")
-    out = materialise(checked.unionByName(stars), "plausible")
+    out = materialise(checked.unionByName(joined).unionByName(stars), "plausible")
     release(shared, members, wide, pairs)
     return out
 
@@ -293,7 +365,7 @@ def links(docs: DataFrame, families: DataFrame, classes: DataFrame, n: int, num:
     """Tables (a, b) of links that connect what is connected, between the documents of ``families`` (doc_id, family)."""
     rows = families.join(classes.select(F.col("rep").alias("doc_id"), "a", "n"), "doc_id")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
-    size = materialise(rows.groupBy("family").agg(F.count("*").alias("m"), blocks.alias("blocks")).filter("m > 1"), "sizes")
+    size = materialise(rows.groupBy("family").agg(F.count("*").alias("m"), blocks.alias("blocks"), F.sum("n").alias("shingles_of")).filter("m > 1"), "sizes")
     block = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
     sets = materialise(family_sets(docs, rows.join(size, "family").select("doc_id", "family", "a", "m", "blocks", block), n), "sets")
 
@@ -313,10 +385,11 @@ def links(docs: DataFrame, families: DataFrame, classes: DataFrame, n: int, num:
     label = materialise(large.select("doc_id", "family", "m").join(parts, F.col("doc_id") == F.col("node"), "left").select("doc_id", "family", "m", F.coalesce("component", "doc_id").alias("label")), "labels")
     main = label.groupBy("family", "label").agg(F.count("*").alias("c")).groupBy("family").agg(F.max_by("label", F.struct("c", "label")).alias("main"))
     rest = materialise(label.join(main, "family").filter("label <> main").select("doc_id", "family"), "rest")
-    # a side's blocks grow with the family, so that what is sent grows in proportion to it up to LARGEST ** 2 / 256 sets
-    side = F.least(F.greatest(F.ceil(F.sqrt(F.col("m") * F.col("r")) / 16), F.lit(BLOCK)), F.lit(LARGEST))
+    # a side's blocks grow with the family, so that what is sent grows in proportion to it up to 4 * LARGEST sets
+    side = F.least(F.greatest(F.ceil(F.sqrt(F.col("m") * F.col("r")) / 4), F.lit(BLOCK)), F.lit(LARGEST))
+    parts_of = lambda k: F.greatest(F.ceil(F.col(k) / F.col("side")), F.ceil(F.col("shingles_of") * F.col(k) / F.col("m") / (4 * BLOCK_SHINGLES))).cast("int")
     grid = rest.groupBy("family").agg(F.count("*").alias("r")).join(size, "family").withColumn("side", side)
-    grid = materialise(grid.select("family", F.ceil(F.col("r") / F.col("side")).cast("int").alias("q"), F.ceil(F.col("m") / F.col("side")).cast("int").alias("s")), "grid")
+    grid = materialise(grid.select("family", parts_of("r").alias("q"), parts_of("m").alias("s")), "grid")
     laid = large.select("doc_id", "family", "shingles").join(label.select("doc_id", "label"), "doc_id").join(grid, "family")
     deal = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col(k)).cast("int")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
