@@ -418,8 +418,8 @@ def jaccard_join(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> Da
     rep_of = materialise(full.select("doc_id", "n", "a", "b").join(classes.drop("bits"), ["n", "a", "b"]).select("doc_id", "n", "rep"), "reps")
     repeated = rep_of.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).filter("a < hi").select("doc_id", "a")  # ids of several texts
     same = rep_of.join(repeated, "doc_id").select("a", F.col("rep").alias("b"))
-    parts = components(found[0].unionByName(found[-1]).unionByName(same))
+    parts = materialise(components(found[0].unionByName(found[-1]).unionByName(same)), "parts")  # a table, so that a hot class can be split in the join
     linked = rep_of.join(parts, F.col("rep") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("component_id"))
     out = materialise(linked.unionByName(all_sets.filter("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), "joined")
-    release(all_sets, classes, near, families, *found, rep_of)
+    release(all_sets, classes, near, families, *found, rep_of, parts)
     return out
