@@ -5,14 +5,20 @@ from __future__ import annotations
 import atexit
 import gc
 import os
+import re
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+MEMBER_BITS = 24
 _SHIPPED: set[str] = set()
 
 
@@ -34,11 +40,13 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and every executor can reach.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset (a local
-    session, as in tests) a temporary folder of this process takes its place.
+    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset in a local
+    session, as in tests, a temporary folder of this process takes its place.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="trellis-shared-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -66,6 +74,33 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def membership(ids: DataFrame, of: str = "doc_id") -> Callable[[Column], Column]:
+    """A test on a column: may the id be in ``ids`` (column ``of``)? What is in it passes, and few others while it is small.
+
+    The test is a bitmap of ``1 << MEMBER_BITS`` hashed places, so what is gathered and sent has a fixed size. It only
+    spares rows a shuffle; the join behind it decides."""
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << MEMBER_BITS))
+    at = ids.select(place(F.col(of)).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << (MEMBER_BITS - 6), dtype=np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def test(p: pd.Series) -> pd.Series:
+        p = p.to_numpy()
+        return pd.Series((shared.value[p >> 6] >> (p & 63) & 1).astype(bool))
+
+    return lambda column: test(place(column))
+
+
+def parted(docs: DataFrame, ids: DataFrame, by: str = "doc_id", of: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``by`` is surely not among ``ids``, nulls among them; the rest): only the rest needs a join, and texts that
+    have nothing to meet are not shuffled."""
+    here = F.col(by).isNotNull() & membership(ids, of)(F.coalesce(F.col(by).cast("long"), F.lit(0)))
+    return docs.filter(~here), docs.filter(here)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables; columns that clash or are extra are left to the caller."""
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))

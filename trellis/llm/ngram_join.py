@@ -15,7 +15,7 @@ component meets the other blocks, as pairs inside a component have nothing to ad
 links, never all pairs, and components follow from the forests.
 
 Nothing grows on the driver: the sketch's levels (``1 << SKETCH_BITS`` bytes) and a bitmap of the families' ids
-(``1 << MEMBER_BITS`` bits, which spares sending texts that are in no family; false hits fall to a join) have fixed sizes.
+(``common.membership``, which spares sending texts that are in no family) have fixed sizes.
 
 Defined results: words are runs of bytes other than white space, A-Z lower-cased; fewer words than n make one shingle; null
 texts and texts without words have an empty set and link with nothing; equal sets link; rows of equal id are one document,
@@ -33,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm import kernels as K
-from trellis.llm.common import materialise, release
+from trellis.llm.common import materialise, parted, release
 from trellis.llm.graph import components
 
-SKETCH_BITS, MEMBER_BITS = 18, 24
+SKETCH_BITS = 18
 WIDE, WIDEST, BLOCK, BLOCK_SHINGLES, LARGEST = 64, 8192, 256, 1 << 18, 4096
 LEAST_BITS, MOST_BITS = 6, 14
 SETS = "doc_id long, n long, a long, b long, bits binary"
@@ -343,21 +343,14 @@ def arrays(table: pa.Table) -> list[np.ndarray]:
 
 def family_sets(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """(doc_id, family, n, blocks, block, hub, shingles) of the documents of ``members`` (those columns but the last, and a)."""
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MEMBER_BITS))
-    words = members.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toArrow()  # rows bounded by the bitmap
-    bitmap = np.zeros(1 << (MEMBER_BITS - 6), dtype=np.int64)
-    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("p").to_numpy()
-            batch = batch.filter(pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool)))
-            for lo, hi, data, offsets in K.text_chunks(batch.column("text")):
+            for lo, hi, data, offsets in K.text_chunks(batch.column(1)):
                 found = list(shingle_sets(data, offsets, n))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), pa.array(K.signed(digests(found, _SALT[0]))), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "a", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(K.signed(digests(found, _SALT[0]))), pa.array([x.tobytes() for x in found], pa.binary())], names=["doc_id", "a", "shingles"])
 
-    rows = docs.filter("doc_id is not null").select("doc_id", place.alias("p"), "text").mapInArrow(sets, "doc_id long, a long, shingles binary")
+    rows = parted(docs.select("doc_id", "text"), members)[1].mapInArrow(sets, "doc_id long, a long, shingles binary")
     return rows.join(members, ["doc_id", "a"]).drop("a")
 
 

@@ -10,20 +10,23 @@ The count deduplicates (hash, repository, owner) before it sums, so that a value
 rows for each task.
 
 Defined results: null and empty texts have no spans; offsets are code points, end exclusive; repeated spans of one kind
-count once; a candidate inside a base span or an earlier candidate is not added; null owners count as one owner; extra columns are ignored.
+count once; a candidate inside a base span or an earlier candidate is not added; null owners count as one owner; rows of
+equal or null id are scanned each for itself; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trellis.llm.common import materialise
+from trellis.llm.common import materialise, parted
 
 MAX_OWNERS, MAX_REPOSITORIES = 2, 3
 KINDS = ("assign", "access", "hex")
@@ -41,7 +44,7 @@ CANDIDATES = (
     ("url", "://", re.compile(r"://[^\s/:@]+:([^\s/:@]{6,})@")),
     ("mixed", "", re.compile(r"(?<![A-Za-z0-9+/_-])([A-Za-z0-9+/_-]{28,})(?![A-Za-z0-9+/_-])")),
 )
-FOUND = "doc_id long, base array<struct<kind:int,start:int,stop:int>>, extra array<struct<kind:int,start:int,stop:int,hash:binary>>"
+FOUND = "doc_id long, text_hash long, repository string, owner string, base array<struct<kind:int,start:int,stop:int>>, extra array<struct<kind:int,start:int,stop:int,hash:binary>>"
 _SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())])
 _EXTRA = pa.struct([*_SPAN, ("hash", pa.binary())])
 
@@ -71,24 +74,29 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     out = [(kind, a, b, digest(ASSIGN.fullmatch(text, a, b)[2] if kind == 0 else text[a:b])) for kind, a, b in base]
     for kind, (name, hint, pattern) in enumerate(CANDIDATES, len(KINDS)):
         if hint in text:
+            known = sorted((a, b) for _, a, b, _ in out)
+            starts, furthest = [a for a, _ in known], list(accumulate((b for _, b in known), max))
             for m in pattern.finditer(text):
-                if (name != "mixed" or mixed(m[1])) and not any(x[1] <= m.start(1) and m.end(1) <= x[2] for x in out):
+                before = bisect_right(starts, m.start(1))  # the spans that start no later
+                if (name != "mixed" or mixed(m[1])) and not (before and furthest[before - 1] >= m.end(1)):
                     out.append((kind, m.start(1), m.end(1), digest(m[1])))
     return out
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(rows: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, repository, owner, base, extra) of every row (doc_id, text_hash, repository, owner, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, extra = [], []
-            for text in batch.column(1):
+            for text in batch.column("text"):
                 text = text.as_py() or ""
                 base.append(spans := base_spans(text))
                 extra.append(candidates(text, spans))
             names = [[dict(zip(("kind", "start", "stop", "hash"), x)) for x in spans] for spans in base], [[dict(zip(("kind", "start", "stop", "hash"), x)) for x in spans] for spans in extra]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[0], pa.list_(_SPAN)), pa.array(names[1], pa.list_(_EXTRA))], names=["doc_id", "base", "extra"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(names[0], pa.list_(_SPAN)), pa.array(names[1], pa.list_(_EXTRA))], names=["doc_id", "text_hash", "repository", "owner", "base", "extra"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
+    return rows.select("doc_id", "text_hash", "repository", "owner", "text").mapInArrow(run, FOUND)
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -98,19 +106,27 @@ def ownership(found: DataFrame) -> DataFrame:
     return owners.groupBy("hash").agg(F.sum("n").alias("n_repositories"), F.count("*").alias("n_owners"))
 
 
-def scan_secrets(docs: DataFrame, repository: str = "source", owner: str = "source", max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
-    """(doc_id, base, live): the base spans and the owner-specific spans of each document.
+def owner_of(repository: Column) -> Column:
+    """The owner part of a repository's name: what stands before the first slash, the whole name if there is none."""
+    return F.substring_index(repository, "/", 1)
+
+
+def scan_secrets(docs: DataFrame, repository: str = "source", owner: str | None = None, max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
+    """(doc_id, text_hash, base, live): the base spans and the owner-specific spans of each row.
 
-    ``live`` entries, base spans among them, carry n_repositories and n_owners; a value is live if it is held by no more
-    than ``max_owners`` owners and ``max_repositories`` repositories.
+    ``repository`` and ``owner`` name columns; without ``owner`` it is the repository's name up to its first slash. ``live``
+    entries, base spans among them, carry n_repositories and n_owners; a value is live if it is held by no more than
+    ``max_owners`` owners and ``max_repositories`` repositories. ``text_hash`` (xxhash64) tells texts of one id apart.
     """
-    keys = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.col(repository).cast("string"), F.lit("")).alias("repository"), F.coalesce(F.col(owner).cast("string"), F.lit("")).alias("owner"))
-    found = materialise(scan(keys), "secrets")
-    single = found.filter(F.size("extra") > 0).select("doc_id", F.explode("extra").alias("x")).select("doc_id", "x.kind", "x.start", "x.stop", "x.hash")
-    single = single.join(keys.select("doc_id", "repository", "owner"), "doc_id")
+    repo = F.coalesce(F.col(repository).cast("string"), F.lit(""))
+    own = F.coalesce(F.col(owner).cast("string"), F.lit("")) if owner else owner_of(repo)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), repo.alias("repository"), own.alias("owner"), "text")
+    found = materialise(scan(rows).withColumn("row", F.monotonically_increasing_id()), "secrets")  # the rows' numbers are fixed once written
+    single = found.filter(F.size("extra") > 0).select("row", "repository", "owner", F.explode("extra").alias("x")).select("row", "repository", "owner", "x.kind", "x.start", "x.stop", "x.hash")
     rare = ownership(single).filter((F.col("n_owners") <= max_owners) & (F.col("n_repositories") <= max_repositories))
-    live = single.join(rare, "hash").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "n_repositories", "n_owners"))).alias("live"))
-    return found.select("doc_id", "base").join(live, "doc_id", "left").withColumn("live", F.coalesce("live", F.array().cast("array<struct<start:int,kind:int,stop:int,n_repositories:long,n_owners:long>>")))
+    live = single.join(rare, "hash").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "stop", "n_repositories", "n_owners"))).alias("live"))
+    none = F.array().cast("array<struct<start:int,kind:int,stop:int,n_repositories:long,n_owners:long>>")
+    return found.select("row", "doc_id", "text_hash", "base").join(live, "row", "left").select("doc_id", "text_hash", "base", F.coalesce("live", none).alias("live"))
 
 
 def names(kind):
@@ -119,13 +135,17 @@ def names(kind):
 
 
 def redact(docs: DataFrame, spans: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """The documents with every span (doc_id, spans array<struct<start,stop>>) replaced by ``mark``; n_chars follows."""
+    """The documents with every span (doc_id, text_hash, spans array<struct<start,stop>>) replaced by ``mark``; n_chars follows.
+
+    Spans belong to an id and a text, so texts of one id keep their own; null ids meet null ids. Only texts whose hash may
+    be among the spans are dealt out for the join. The helper columns' names avoid those of ``docs``."""
     schema = docs.schema
+    hashed, cuts_of, at_id = (free_name(x, docs.columns) for x in ("text_hash", "spans", "spans_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            for i, cuts in enumerate(batch.column("_spans").to_pylist()):
+            for i, cuts in enumerate(batch.column(cuts_of).to_pylist()):
                 if cuts:
                     at, parts = 0, []
                     for start, stop in sorted((x["start"], x["stop"]) for x in cuts):
@@ -136,5 +156,17 @@ def redact(docs: DataFrame, spans: DataFrame, mark: str = "[secret]") -> DataFra
             columns = {f.name: batch.column(f.name) for f in schema} | {"text": pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_pydict({k: columns[k] for k in schema.names})
 
-    out = docs.join(spans.select("doc_id", F.col("spans").alias("_spans")), "doc_id", "left").select(*schema.names, "_spans").mapInArrow(run, schema)
-    return out.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out
+    spans = materialise(spans.groupBy("doc_id", "text_hash").agg(F.max("spans").alias("spans")), "spans")
+    away, here = parted(docs.withColumn(hashed, F.xxhash64("text")), spans.select("text_hash"), hashed, "text_hash")
+    held = spans.select(F.col("doc_id").alias(at_id), F.col("text_hash").alias(hashed), F.col("spans").alias(cuts_of))
+    out = here.join(held, (here[hashed] == held[hashed]) & F.col("doc_id").cast("long").eqNullSafe(F.col(at_id)), "left").select(*schema.names, cuts_of).mapInArrow(run, schema)
+    if "n_chars" in schema.names:
+        count = lambda df: df.withColumn("n_chars", F.length("text").cast(schema["n_chars"].dataType))
+        out, away = count(out), count(away)
+    return away.select(*schema.names).unionByName(out)
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
