@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.llm import decontamination, ngram_join, pieces, quality, queries, secrets
-from trellis.llm.common import materialise, ship, table
+from trellis.llm.common import materialise, parted, ship, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     joined = ngram_join.jaccard_join(docs, n=5, num=4, den=5)
-    return docs.join(joined.filter("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    copies = materialise(joined.filter("doc_id <> component_id").select("doc_id"), "copies")
+    alone, rest = parted(docs, copies)  # texts that are surely no copies stay where they are
+    return alone.unionByName(rest.join(copies, rest["doc_id"].cast("long") == copies["doc_id"], "left_anti"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +41,7 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
     span = lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"))
-    found = secrets.scan_secrets(docs).select("doc_id", F.concat(F.transform("base", span), F.transform("live", span)).alias("spans"))
+    found = secrets.scan_secrets(docs).select("doc_id", "text_hash", F.concat(F.transform("base", span), F.transform("live", span)).alias("spans"))
     return secrets.redact(docs, found.filter(F.size("spans") > 0))
 
 
