@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trellis.functions import geometry as G
 from trellis.model import Mesh, dense_ids, remap
+from trellis.session import cut
 
 
 @dataclass(frozen=True)
@@ -209,14 +210,15 @@ def insert_submesh(mesh: Mesh, sub: Submesh) -> Mesh:
 
 
 def merge_meshes(first: Mesh, second: Mesh, scale: float = 1000.0) -> Mesh:
-    """Union: nodes of the second at the place of one of the first become that node, the others follow the first's ids; elements of equal nodes merge."""
+    """Union: nodes of the second at the place of one of the first become that node, the others follow the first's ids; elements of equal nodes merge. Ids are dense."""
     limits = first.nodes.agg((F.max("nid") + 1).alias("n")).crossJoin(first.elements.agg((F.max("eid") + 1).alias("e")))
     known = first.nodes.select(F.col("nid").alias("to"), *coordinate_key(scale)).groupBy("kx", "ky", "kz").agg(F.max("to").alias("to"))
     keyed = second.nodes.select("nid", "x", "y", "z", *coordinate_key(scale)).join(known, ["kx", "ky", "kz"], "left").crossJoin(F.broadcast(limits))
     placed = keyed.select("nid", "x", "y", "z", F.coalesce("to", F.col("nid") + F.col("n")).alias("new"), F.col("to").isNull().alias("fresh"))
     elements = remap(second.elements, "con", "eid", placed, "nid", "new").crossJoin(F.broadcast(limits)).withColumn("eid", F.col("eid") + F.col("e")).select(*first.elements.columns)
     nodes = first.nodes.unionByName(placed.filter("fresh").select(F.col("new").alias("nid"), "x", "y", "z"))
-    return drop_duplicate_elements(Mesh(nodes, first.elements.unionByName(elements)))
+    merged = Mesh(cut(nodes), cut(first.elements.unionByName(elements)))  # renumbering reads both several times
+    return renumber(drop_duplicate_elements(merged)).mesh
 
 
 def restore_mapping(mesh: Mesh, sub: Mesh, scale: float = 1000.0) -> tuple[DataFrame, DataFrame]:
@@ -237,8 +239,8 @@ def map_ids(lists: DataFrame, mapping: DataFrame, direction: str = "m2s", keep:
 
 
 def uniform_refinement(mesh: Mesh) -> Mesh:
-    """Triangles into four, tetrahedra into eight; a new node for each edge, after the old ones in order of the edge."""
-    edges = mesh.element_edges
+    """Triangles into four, tetrahedra into eight; a new node for each of their edges, after the old ones in order of the edge. Other elements stay whole."""
+    edges = mesh.with_elements(mesh.elements.filter(F.col("etype").isin("Tr", "Tt"))).element_edges
     keyed = edges.select("v1", "v2").distinct().crossJoin(F.broadcast(mesh.nodes.agg((F.max("nid") + 1).alias("n"))))
     keyed = keyed.withColumn("code", F.col("v1") * F.col("n") + F.col("v2"))
     middle = dense_ids(keyed, "code", "rank").select("v1", "v2", (F.col("n") + F.col("rank")).alias("m"))
@@ -250,18 +252,19 @@ def uniform_refinement(mesh: Mesh) -> Mesh:
     a, d, f, b, cc, e = (m[i] for i in range(6))  # edges 12 23 13 14 24 34
     tet = [(c[0], a, f, b), (a, c[1], d, cc), (d, c[2], f, e), (a, d, f, cc), (d, cc, e, f), (cc, a, b, f), (f, e, b, cc), (b, cc, e, c[3])]  # all of the parent's orientation
     rows = lambda t: F.array(*(F.array(*x) for x in t))
-    children = F.when(F.col("etype") == "Tr", rows(tri)).when(F.col("etype") == "Tt", rows(tet))
-    out = mesh.elements.join(mids, "eid").select("eid", "etype", "tag", "fib", F.posexplode(children).alias("k", "con")).withColumn("eid", F.col("eid") * 8 + F.col("k"))
+    children = F.when(F.col("etype") == "Tr", rows(tri)).when(F.col("etype") == "Tt", rows(tet)).otherwise(F.array("con"))
+    out = mesh.elements.join(mids, "eid", "left").select("eid", "etype", "tag", "fib", F.posexplode(children).alias("k", "con")).withColumn("eid", F.col("eid") * 8 + F.col("k"))
     return Mesh(mesh.nodes.unionByName(fresh), out.select(*mesh.elements.columns))
 
 
 def centre_refinement(mesh: Mesh) -> Mesh:
-    """Each tetrahedron into four about its centre, which becomes node max + 1 + rank of the element."""
+    """Each tetrahedron into four about its centre, which becomes node max + 1 + rank of the element; other elements stay whole."""
     ranked = dense_ids(mesh.elements.filter("etype = 'Tt'").select("eid"), "eid", "rank").crossJoin(F.broadcast(mesh.nodes.agg((F.max("nid") + 1).alias("n")))).select("eid", (F.col("rank") + F.col("n")).alias("m"))
     spots = mesh.points.join(ranked, "eid").withColumn("_b", G.barycenter(F.col("pts")))
     c, m = F.col("con"), F.col("m")
     rows = F.array(F.array(c[0], c[1], c[2], m), F.array(c[0], c[1], m, c[3]), F.array(c[0], m, c[2], c[3]), F.array(m, c[1], c[2], c[3]))
     out = spots.select("eid", "etype", "tag", "fib", F.posexplode(rows).alias("k", "con")).withColumn("eid", F.col("eid") * 4 + F.col("k"))
+    out = out.select(*mesh.elements.columns).unionByName(mesh.elements.filter("etype <> 'Tt'").withColumn("eid", F.col("eid") * 4))
     return Mesh(mesh.nodes.unionByName(spots.select(F.col("m").alias("nid"), "_b.x", "_b.y", "_b.z")), out.select(*mesh.elements.columns))
 
 
@@ -299,8 +302,6 @@ def split_edges(mesh: Mesh, selected: DataFrame) -> Mesh:
 
 def resample(mesh: Mesh, most: float, rounds: int = 50) -> Mesh:
     """Split edges longer than ``most`` until none is left, longest first, an independent set at a time."""
-    from trellis.session import cut
-
     for _ in range(rounds):
         chosen = cut(independent_edges(edge_selection(mesh, most=most), mesh))
         if chosen.isEmpty():

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trellis.functions import geometry as G
@@ -32,10 +32,10 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
     return joined.select("bin", (F.col("lo") + F.col("bin") * width).alias("low"), F.coalesce("n", F.lit(0)).alias("n"), (F.coalesce("n", F.lit(0)) / F.col("total")).alias("fraction"))
 
 
-def summary(df: DataFrame, value: str) -> DataFrame:
-    """One row: n, total, mean, sample deviation, least, greatest."""
+def summary(df: DataFrame, value: str, *more: Column) -> DataFrame:
+    """One row: n, total, mean, sample deviation, least, greatest, and further aggregates of the same pass."""
     v = F.col(value)
-    return df.agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"))
+    return df.agg(F.count(v).alias("n"), F.sum(v).alias("total"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.min(v).alias("lo"), F.max(v).alias("hi"), *more)
 
 
 def connections(mesh: Mesh) -> DataFrame:
@@ -70,15 +70,14 @@ def quality(mesh: Mesh, metric: str = "volume") -> DataFrame:
 
 def quality_summary(mesh: Mesh, threshold: float) -> DataFrame:
     """Summary of the quality and the number strictly above ``threshold``."""
-    q = quality(mesh)
-    return summary(q, "value").crossJoin(q.agg(F.count_if(F.col("value") > threshold).alias("n_above")))
+    return summary(quality(mesh), "value", F.count_if(F.col("value") > threshold).alias("n_above"))
 
 
 def quality_histogram(mesh: Mesh, bins: int = 50) -> DataFrame:
     """(bin, fraction) over [0, 1]."""
-    q = quality(mesh).select(F.least(F.floor(F.col("value") * bins), F.lit(bins - 1)).cast("int").alias("bin"))
-    total = q.agg(F.count("*").alias("total"))
-    return q.groupBy("bin").agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("bin", (F.col("n") / F.col("total")).alias("fraction"))
+    counts = quality(mesh).groupBy(F.least(F.floor(F.col("value") * bins), F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    total = F.sum("n").over(Window.partitionBy())  # over at most ``bins`` rows
+    return counts.select("bin", (F.col("n") / total).alias("fraction"))
 
 
 def nodal_quality(mesh: Mesh) -> DataFrame:
@@ -137,7 +136,7 @@ def self_intersections(mesh: Mesh, slabs: int = 50) -> DataFrame:
 
 
 def ray_hit(origin: G.Vec, direction: G.Vec, pts: Column) -> Column:
-    """Parameter at which a line meets a triangle; null if it doesn't."""
+    """Parameter at which a line meets a triangle; null if it doesn't, or lies in its plane but for rounding."""
     a, b, c = (G.at(pts, i) for i in range(3))
     start = F.struct(*(G.point(v).alias(n) for n, v in (("o", origin), ("d", direction), ("a", a), ("u", G.sub(b, a)), ("v", G.sub(c, a)))))
 
@@ -145,10 +144,11 @@ def ray_hit(origin: G.Vec, direction: G.Vec, pts: Column) -> Column:
         d, u, v = (G.vec(r[n]) for n in "duv")
         h, s = G.cross(d, v), G.sub(G.vec(r["o"]), G.vec(r["a"]))
         q = G.cross(s, u)
-        return F.struct(G.dot(u, h).alias("det"), G.dot(s, h).alias("sh"), G.dot(d, q).alias("dq"), G.dot(v, q).alias("vq"))
+        size = F.sqrt(G.dot(d, d) * G.dot(u, u) * G.dot(v, v))
+        return F.struct(G.dot(u, h).alias("det"), size.alias("size"), G.dot(s, h).alias("sh"), G.dot(d, q).alias("dq"), G.dot(v, q).alias("vq"))
 
     def solve(r: Column) -> Column:
         alpha, beta, t = (G.ratio(r[n], r["det"]) for n in ("sh", "dq", "vq"))
-        return F.when((F.abs(r["det"]) > 1e-300) & (alpha >= 0) & (beta >= 0) & (alpha + beta <= 1), t)
+        return F.when((F.abs(r["det"]) > 1e-12 * r["size"]) & (alpha >= 0) & (beta >= 0) & (alpha + beta <= 1), t)
 
     return G.let(G.let(start, products), solve)

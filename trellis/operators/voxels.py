@@ -128,23 +128,40 @@ def spread(image: Image, voxels: DataFrame, offsets: list[tuple[int, int, int]])
     return v
 
 
-def close(image: Image, tags: list[int], radius: tuple[float, float, float] = (1, 1, 1), rounds: int = 1) -> Image:
-    """For each tag in turn: dilate, then erode, ``rounds`` times each; only voxels of value 0 or the tag take part. Outside counts as the tag when eroding."""
-    offsets = stencil(radius)
+def box(image: Image, radius: tuple[int, int, int]) -> list[tuple[int, int]]:
+    """Reach along each axis: whole voxels of the radius, which is in units of the first axis' spacing."""
+    return [int(r * image.spacing[0] / h) for r, h in zip(radius, image.spacing)]
+
+
+def dilate(image: Image, places: DataFrame, radius: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
+    """Places (i, j, k) of the image that have one of ``places`` in their box; an axis at a time."""
+    for c, r, n in zip(AXES, box(image, radius), image.dim):
+        near = F.explode(F.sequence(F.greatest(F.col(c) - r, F.lit(0)), F.least(F.col(c) + r, F.lit(n - 1))))
+        places = places.withColumn(c, near).distinct()
+    return places.select(*AXES)
+
+
+def erode(image: Image, places: DataFrame, radius: tuple[int, int, int] = (1, 1, 1)) -> DataFrame:
+    """Those of ``places`` whose box, as far as it lies in the image, is all of ``places``; an axis at a time."""
+    for c, r, n in zip(AXES, box(image, radius), image.dim):
+        near = F.sequence(F.greatest(F.col(c) - r, F.lit(0)), F.least(F.col(c) + r, F.lit(n - 1)))
+        full = F.least(F.col(c) + r, F.lit(n - 1)) - F.greatest(F.col(c) - r, F.lit(0)) + 1
+        others = [x for x in AXES if x != c]
+        seen = places.select(*others, F.explode(near).alias(c)).groupBy(*AXES).agg(F.count("*").alias("n"))
+        places = seen.filter(F.col("n") == full).select(*AXES)
+    return places
+
+
+def close(image: Image, tags: list[int], radius: tuple[int, int, int] = (1, 1, 1), rounds: int = 1) -> Image:
+    """For each tag in turn, on its own voxels: ``rounds`` times dilate, then erode, by a box clipped to the image; what the tag
+    then covers takes its value, other tags included."""
     v = cut(image.voxels.filter("value <> 0"))
     for tag in tags:
-        own = v.filter(F.col("value") == tag)
-        other = v.filter(F.col("value") != tag)
-        grown = own
-        for _ in range(rounds):
-            grown = cut(spread(image, grown, offsets).distinct().join(other.select(*AXES), list(AXES), "left_anti"))
+        own = v.filter(F.col("value") == tag).select(*AXES)
         for _ in range(rounds):
-            # a voxel goes if a place it sees, inside the image, is not the tag
-            seen = spread(image, grown.withColumn("value", F.lit(1.0)), offsets).groupBy(*AXES).agg(F.count("*").alias("n"))
-            inside = sum((F.when(sum((F.when((F.col(c) + o < 0) | (F.col(c) + o >= n), 1).otherwise(0) for c, o, n in zip(AXES, off, image.dim)), F.lit(0)) == 0, 1).otherwise(0) for off in offsets), F.lit(0))
-            grown = cut(grown.join(seen, list(AXES)).filter(F.col("n") == inside).select(*AXES, "value"))
-        kept = own.unionByName(grown.select(*own.columns)).distinct()
-        v = cut(other.unionByName(kept.select(*other.columns)))
+            own = cut(erode(image, dilate(image, own, radius), radius))
+        rest = v.filter(F.col("value") != tag).join(own, list(AXES), "left_anti")
+        v = cut(rest.select(*AXES, "value").unionByName(own.select(*AXES, F.lit(float(tag)).cast(v.schema["value"].dataType).alias("value"))))
     return replace(image, voxels=v)
 
 

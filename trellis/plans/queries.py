@@ -749,13 +749,20 @@ def clean_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One straight cable along x for each order, of as many points as it has lines."""
+    """A cable along x for each order, of as many points as it has lines; two thirds of them zigzag, some too much to be straight."""
     lines = hosts.read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("cid")).agg(F.count("*").alias("n"))
-    spot = lambda i: F.struct((i * 10.0).alias("x"), F.col("cid").cast("double").alias("y"), F.lit(0.0).alias("z"))
+    spot = lambda i: F.struct((i * 10.0).alias("x"), ((i % 2) * (F.col("cid") % 3) * 4.0).alias("y"), F.col("cid").cast("double").alias("z"))
     return lines.select("cid", F.transform(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), spot).alias("pts"))
 
 
-@query(f", cb AS (SELECT l_orderkey AS cid, count(*) AS n, greatest(ceil((count(*) - 1) * 10 / 25.0), 1) AS k FROM lineitem GROUP BY 1 HAVING count(*) > 1) SELECT CAST(cid AS BIGINT) AS cid, CAST(p AS BIGINT) AS pos, {R('(n - 1) * 10.0 * p / k', 'x')}, CAST(cid AS DOUBLE) AS y, 0.0::DOUBLE AS z FROM (SELECT *, unnest(range(CAST(k AS BIGINT) + 1)) AS p FROM cb)")
+_CABLES = """, cb AS (SELECT l_orderkey AS cid, count(*) AS n, (l_orderkey % 3) * 4.0::DOUBLE AS a FROM lineitem GROUP BY 1 HAVING count(*) > 1),
+ce AS (SELECT *, (n - 1) * 10.0::DOUBLE AS dx, ((n - 1) % 2) * a AS dy FROM cb), cp AS (SELECT *, unnest(range(n)) AS p FROM ce),
+cs AS (SELECT cid, n, a, dx, dy, min(CASE WHEN p > 0 THEN (p * 10 * dx + (p % 2) * a * dy) / (sqrt(p * 10 * p * 10 + (p % 2) * a * a) * sqrt(dx * dx + dy * dy)) END) >= 0.9 AS straight,
+  greatest((CAST(trunc(sqrt(dx * dx + dy * dy)) AS BIGINT) + 24) // 25, 1) AS k FROM cp GROUP BY cid, n, a, dx, dy)"""
+
+
+@query(f"""{_CABLES} SELECT CAST(cid AS BIGINT) AS cid, CAST(p AS BIGINT) AS pos, {R('CASE WHEN straight THEN dx * p / k ELSE p * 10.0 END', 'x')}, {R('CASE WHEN straight THEN dy * p / k ELSE (p % 2) * a END', 'y')}, CAST(cid AS DOUBLE) AS z
+FROM (SELECT *, unnest(range(CAST(CASE WHEN straight THEN k + 1 ELSE n END AS BIGINT))) AS p FROM cs)""")
 def resample_purkinje(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(smoothing.curve_resampling(_cables(spark, sf_dir), 25.0))
 
@@ -900,14 +907,31 @@ def itk_dtype(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _voxels(voxels.dtype(voxels.Image(image.voxels.withColumn("value", F.col("value") * 100.7), image.dim), 2))
 
 
-_ST = "(VALUES (0,0,0),(1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(a, b, c)"
+def _close_sql(source: str, name: str, tag: int, rounds: int) -> str:
+    """CTEs that close ``tag`` over the relation ``source`` (i, j, k, value), into ``name``: a box of one voxel, clipped to the image."""
+    box = "(SELECT a, b, c FROM (VALUES (-1), (0), (1)) x(a), (VALUES (-1), (0), (1)) y(b), (VALUES (-1), (0), (1)) z(c))"
+    out = f", {name}_0 AS (SELECT i, j, k FROM {source} WHERE value = {tag})"
+    for n in range(rounds):
+        out += f""", {name}_d{n} AS (SELECT DISTINCT g.i, g.j, g.k FROM {name}_{n} s, {box} JOIN img g ON g.i = s.i + a AND g.j = s.j + b AND g.k = s.k + c),
+{name}_e{n} AS (SELECT DISTINCT g.i - a AS i, g.j - b AS j, g.k - c AS k FROM (SELECT i, j, k FROM img EXCEPT SELECT * FROM {name}_d{n}) g, {box}), {name}_{n + 1} AS (SELECT * FROM {name}_d{n} EXCEPT SELECT * FROM {name}_e{n})"""
+    return out + f", {name} AS (SELECT i, j, k, {tag}.0::DOUBLE AS value FROM {name}_{rounds} UNION ALL SELECT i, j, k, value FROM {source} ANTI JOIN {name}_{rounds} USING (i, j, k) WHERE value <> 0)"
 
 
-@query(f""", dl AS (SELECT DISTINCT v.i + a AS i, v.j + b AS j, v.k + c AS k FROM img v, {_ST} WHERE v.value = 2), g AS (SELECT dl.i, dl.j, dl.k FROM dl JOIN img USING (i, j, k) WHERE value IN (0, 2)),
-er AS (SELECT g.* FROM g WHERE NOT EXISTS (SELECT 1 FROM {_ST} JOIN img v ON v.i = g.i + a AND v.j = g.j + b AND v.k = g.k + c WHERE (v.i, v.j, v.k) NOT IN (SELECT (i, j, k) FROM g))),
-o AS (SELECT i, j, k, 2.0::DOUBLE AS value FROM er UNION SELECT i, j, k, value FROM img WHERE value <> 0) SELECT {_IJK('i', 'j', 'k')}, value FROM o""")
+@query(f"{_close_sql('img', 'o', 2, 1)} SELECT {_IJK('i', 'j', 'k')}, value FROM o")
 def itk_close(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _voxels(voxels.close(hosts.lattice_image(spark, sf_dir), [2]))
+    """The radius is in units of the first axis' spacing: with spacings of 1, 2 and 1.5 it reaches one voxel along each axis."""
+    return _voxels(voxels.close(hosts.lattice_image(spark, sf_dir), [2], (1, 2, 2)))
+
+
+_SPARSE = ", sp AS (SELECT i, j, k, CASE WHEN (i * 3 + j * 5 + k * 7) % 11 < 3 THEN value ELSE 0 END AS value FROM img)"
+
+
+@query(f"{_SPARSE}{_close_sql('sp', 'o', 1, 2)}{_close_sql('o', 'q', 3, 2)} SELECT {_IJK('i', 'j', 'k')}, value FROM q")
+def itk_close_two_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tags, two rounds: dilation and erosion alternate, and the second tag covers what it closes of the first."""
+    image = hosts.lattice_image(spark, sf_dir)
+    sparse = image.voxels.filter("(i * 3 + j * 5 + k * 7) % 11 < 3")
+    return _voxels(voxels.close(voxels.Image(sparse, image.dim), [1, 3], rounds=2))
 
 
 @query()
