@@ -38,3 +38,17 @@ def test_against_brute_force(spark, seed, letters, k):
 
 def test_empty_table(spark):
     assert suffix_dedup.dedup_bytes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    base = "The quick brown fox jumps over the lazy dog. "
+    rows = [(None, base + "x"), (None, None), (1, "own text of the first row"), (1, "then " + base), (1, "own text of the first row"), (2, "other words altogether")]
+    seen = Counter((t or "").encode()[i : i + 20] for _, t in rows for i in range(len((t or "").encode()) - 19))
+    want = []
+    for d, text in rows:
+        data = (text or "").encode()
+        gone = {i + k for i in range(len(data) - 19) if seen[data[i : i + 20]] > 1 for k in range(20)}
+        want.append((d, len(data), len(gone), bytes(x for i, x in enumerate(data) if i not in gone)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [(r.doc_id, r.n_bytes, r.n_removed, bytes(r.kept)) for r in suffix_dedup.dedup_bytes(docs, 20, 7).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and sum(r[2] > 0 for r in want) == 4

@@ -26,3 +26,10 @@ def test_few_and_none(spark):
     assert [tuple(r) for r in topk.top_k(df.filter("vec_id = 0"), df, 20).collect()] == [(0, 1, 1, 2)]
     assert topk.top_k(df.filter("vec_id = 5"), df, 20).count() == 0
     assert topk.top_k(df.filter("vec_id = 5"), df.filter("vec_id = 5"), 20).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(0, [1, 0]), (0, [0, 1]), (None, [9, 9]), (1, [2, 1]), (2, [1, 3])], "vec_id long, vector array<long>")
+    got = sorted(tuple(r) for r in topk.top_k(df.filter("vec_id = 0 or vec_id is null"), df, 1).collect())
+    assert got == [(0, 1, 2, 3)]
+    assert {(r.query_id, r.vec_id) for r in topk.top_k(df.filter("vec_id = 1"), df, 20).collect()} == {(1, 0), (1, 2)}

@@ -3,11 +3,12 @@
 A model's compiled character map (a double-array trie and a table of replacements) is walked by longest prefix;
 every normalised byte records the source byte it came from, through the dummy prefix, the escape of spaces and the
 removal of extra white space. The library segments the text; the lengths of its pieces, laid over the normalised
-bytes, give each piece's span in the source. Pieces are checked to spell the normalised text.
+bytes, give each piece's span in the source. Pieces are held against the normalised text.
 
 Defined results: null encodes as empty; an empty text has begin and end ids only; begin and end ids and pieces that
 come from nothing (the dummy prefix alone) have empty spans; spans of byte-fallback pieces are single bytes, and spans
-over a replaced sequence cover all of it.
+over a replaced sequence cover all of it; a text whose pieces don't spell its normalised form (none is known) has empty
+spans throughout; rows of null or equal id are encoded each for itself; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -169,8 +170,8 @@ class Pieces:
                     lengths[n] = stop - here
                 here += lengths[n]
         ends = np.cumsum(lengths)
-        if len(ends) and ends[-1] != len(normal):
-            raise ValueError(f"pieces spell {ends[-1]} bytes, the normalised text has {len(normal)}")
+        if len(ends) and ends[-1] != len(normal):  # the pieces don't spell the normalised text: no spans
+            return np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
         starts = at[ends - lengths]
         first = np.minimum(ends, len(at) - 1)
         stops = np.where(lengths > 0, at[first], starts)

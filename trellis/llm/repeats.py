@@ -1,14 +1,14 @@
-"""Windows of k elements (words or bytes) that occur more than once in a corpus.
+"""Runs of windows of k elements (words or bytes) that share a minimiser, and the byte windows that occur more than once.
 
-This is not De Bruijn compaction: no nodes or degrees are computed. Windows (here edges) in a row that share a minimiser
-(the least hashed gram of ``gram`` elements inside the window) form a path; equal windows have
-equal minimisers, so a path meets its repeats under its minimiser's key. Per key, paths of equal content collapse
+Windows in a row that share a minimiser (the least hashed gram of ``gram`` elements inside the window) form a path; equal
+windows have equal minimisers, so a path meets its repeats under its minimiser's key. Per key, paths of equal content collapse
 first (partial aggregation, so thousands of copies cost one row for each task). Only where several different
-paths share a minimiser are they branching; there the single edges of one representative of each path are
-compared. All comparisons are exact up to 128 bits of hash (minimiser and content); coordinates (row id, first
+paths share a minimiser are they branching; there the single windows of one representative of each path are
+compared. Comparisons are of hashes: 64 bits of content under 64 bits of minimiser. Coordinates (row, first
 element) lead from each path back to its source.
 
-Nothing is collected, and no pairs of documents are made.
+Rows are named by a key, a hash of id and text, so that null and repeated ids stay apart. Nothing is collected, and no pairs
+of documents are made.
 """
 
 from __future__ import annotations
@@ -21,10 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trellis.llm import kernels as K
-from trellis.llm.common import materialise, release
+from trellis.llm.common import materialise, parted, release
 
-PATHS = "doc_id long, start int, n int, gram long, content long"
-EDGES = "doc_id long, pos int, gram long, edge long, weight long, offset int, n int, content long"
+PATHS = "start int, n int, gram long, content long"
+EDGES = "pos int, gram long, edge long, weight long, offset int, n int, content long"
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """(key, doc_id, text): ``key`` names a row; rows of equal id and text share it, and all that is found for them."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.select(F.xxhash64("doc_id", F.col("doc_id").isNull(), "text").alias("key"), "doc_id", "text")
+
+
+def schema(ids: tuple[str, ...], rest: str) -> str:
+    return ", ".join((*(f"{c} long" for c in ids), rest))
 
 
 def elements(unit: str, data: np.ndarray, offsets: np.ndarray) -> tuple[K.Rolling, np.ndarray]:
@@ -55,31 +65,39 @@ def chunk_paths(roll: K.Rolling, before: np.ndarray, k: int, gram: int) -> tuple
     return np.searchsorted(before, start, "right") - 1, start, count, grams[chosen[first]], roll.slices(start, start + count + k - 1)
 
 
-def paths(docs: DataFrame, unit: str, k: int, gram: int) -> DataFrame:
+def paths(docs: DataFrame, unit: str, k: int, gram: int, ids: tuple[str, ...]) -> DataFrame:
+    """The paths of every text, named by its ``ids`` (long columns without nulls)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for lo, hi, data, offsets in K.text_chunks(batch.column(1)):
+            named = [batch.column(c).to_numpy() for c in ids]
+            for lo, hi, data, offsets in K.text_chunks(batch.column("text")):
                 roll, before = elements(unit, data, offsets)
                 row, start, count, grams, content = chunk_paths(roll, before, k, gram)
                 # rows without text share their neighbour's offset; the last of equal offsets owns the start
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi][row]), pa.array((start - before[row]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(K.signed(grams)), pa.array(K.signed(content))],
-                    names=["doc_id", "start", "n", "gram", "content"],
+                    [*(pa.array(x[lo:hi][row]) for x in named), pa.array((start - before[row]).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(K.signed(grams)), pa.array(K.signed(content))],
+                    names=[*ids, "start", "n", "gram", "content"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, PATHS)
+    return docs.select(*ids, "text").mapInArrow(run, schema(ids, PATHS))
+
 
+def with_lists(docs: DataFrame, rows: DataFrame, name: str, *columns: str) -> DataFrame:
+    """The documents that have ``rows`` (key, columns), with a list of those. Texts of other documents are not dealt out."""
+    lists = materialise(rows.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias(name)), name)
+    return parted(docs, lists, "key", "key")[1].join(lists, "key")
 
-def edges(docs: DataFrame, todo: DataFrame, unit: str, k: int) -> DataFrame:
-    """The single windows of the representative paths in ``todo`` (doc_id, paths), with offset, windows and content of their path."""
+
+def edges(docs: DataFrame, todo: DataFrame, unit: str, k: int, ids: tuple[str, ...]) -> DataFrame:
+    """The single windows of the paths in ``todo`` (key, start, n, gram, weight), with offset, windows and content of their path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2)
+            named, lists = [batch.column(c).to_numpy() for c in ids], batch.column("paths")
             ends, flat = np.asarray(lists.offsets), lists.values
             first, count, gram, weight = (np.asarray(flat.field(x)) for x in ("start", "n", "gram", "weight"))
-            for lo, hi, data, offsets in K.text_chunks(batch.column(1)):
+            for lo, hi, data, offsets in K.text_chunks(batch.column("text")):
                 roll, before = elements(unit, data, offsets)
                 own = slice(ends[lo], ends[hi])
                 row = np.repeat(np.arange(hi - lo), np.diff(ends[lo : hi + 1]))
@@ -89,47 +107,31 @@ def edges(docs: DataFrame, todo: DataFrame, unit: str, k: int) -> DataFrame:
                 content = K.signed(roll.slices(start, start + n + k - 1))
                 row, start, n_of, content, gram_of, weight_of = (np.repeat(x, n) for x in (row, start, count[own], content, gram[own], weight[own]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi][row]), pa.array((at - before[row]).astype(np.int32)), pa.array(gram_of), pa.array(K.signed(roll.slices(at, at + k))), pa.array(weight_of), pa.array((at - start).astype(np.int32)), pa.array(n_of), pa.array(content)],
-                    names=["doc_id", "pos", "gram", "edge", "weight", "offset", "n", "content"],
+                    [*(pa.array(x[lo:hi][row]) for x in named), pa.array((at - before[row]).astype(np.int32)), pa.array(gram_of), pa.array(K.signed(roll.slices(at, at + k))), pa.array(weight_of), pa.array((at - start).astype(np.int32)), pa.array(n_of), pa.array(content)],
+                    names=[*ids, "pos", "gram", "edge", "weight", "offset", "n", "content"],
                 )
 
-    return docs.select("doc_id", "text").join(todo, "doc_id").select("doc_id", "text", "paths").mapInArrow(run, EDGES)
+    return with_lists(docs, todo, "paths", "start", "n", "gram", "weight").select(*ids, "text", "paths").mapInArrow(run, schema(ids, EDGES))
 
 
-def repeated(docs: DataFrame, unit: str, k: int, gram: int, keep_first: bool) -> DataFrame:
-    """(doc_id, start, n): runs of n windows to remove from each document.
+def repeated(docs: DataFrame, unit: str, k: int, gram: int) -> DataFrame:
+    """(key, start, n): runs of n windows, of the documents of ``keyed``, that occur anywhere else too.
 
-    ``keep_first``: a window goes if a document with a smaller id has it, else if it occurs anywhere else.
-    ``doc_id`` must be unique. Null and short texts have no windows and no rows here.
-    """
-    found = paths(docs, unit, k, gram)
-    many = F.col("lo") < F.col("hi") if keep_first else F.col("c") > 1
-    shared = materialise(found.groupBy("gram").agg(F.count("*").alias("c"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter(many).select("gram"), "grams")
+    Null and short texts have no windows and no rows here."""
+    ids = ("key",)
+    found = paths(docs, unit, k, gram, ids)
+    shared = materialise(found.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"), "grams")
     found = materialise(found.join(shared, "gram", "left_semi"), "paths")
-    nodes = materialise(found.groupBy("gram", "content", "n").agg(F.count("*").alias("weight"), F.min(F.struct("doc_id", "start")).alias("rep")), "contents")
-
-    repeats = nodes.filter(F.col("weight") > 1).select("gram", "content", "n", F.col("rep.doc_id").alias("first"))
-    whole = found.join(repeats, ["gram", "content", "n"])
-    if keep_first:
-        whole = whole.filter("doc_id > first")
-    whole = whole.select("doc_id", "start", "n")
+    nodes = materialise(found.groupBy("gram", "content", "n").agg(F.count("*").alias("weight"), F.min(F.struct("key", "start")).alias("rep")), "contents")
+    whole = found.join(nodes.filter("weight > 1").select("gram", "content", "n"), ["gram", "content", "n"], "left_semi").select("key", "start", "n")
 
     # written first: the join then deals both sides itself and can split a minimiser that a common passage gives many paths
     branching = materialise(nodes.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1").select("gram"), "branching")
-    todo = nodes.join(branching, "gram", "left_semi")
-    todo = todo.groupBy(F.col("rep.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("rep.start").alias("start"), "n", "gram", "weight")).alias("paths"))
-    single = edges(docs, todo, unit, k)
-    single = materialise(single if keep_first else single.drop("offset", "n", "content"), "edges")
-    if keep_first:
-        known = single.groupBy("gram", "edge").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-        known = materialise(known.select("gram", "edge", "first"), "known")
-        part = single.join(known, ["gram", "edge"]).filter("doc_id > first")
-        # a path may occur again in its representative's own document: its windows go there too
-        part = part.select("doc_id", "gram", "content", "n", "offset").join(found, ["doc_id", "gram", "content", "n"]).select("doc_id", (F.col("start") + F.col("offset")).alias("pos"))
-    else:
-        known = materialise(single.groupBy("gram", "edge").agg(F.sum("weight").alias("c")).filter("c > 1").select("gram", "edge"), "known")
-        part = single.filter("weight = 1").join(known, ["gram", "edge"], "left_semi")
-    runs = materialise(whole.unionByName(part.select("doc_id", F.col("pos").alias("start"), F.lit(1).alias("n"))), "runs")
+    todo = nodes.join(branching, "gram", "left_semi").select("rep.key", "rep.start", "n", "gram", "weight")
+    single = materialise(edges(docs, todo, unit, k, ids).drop("offset", "n", "content"), "edges")
+    known = materialise(single.groupBy("gram", "edge").agg(F.sum("weight").alias("c")).filter("c > 1").select("gram", "edge"), "known")
+    part = single.filter("weight = 1").join(known, ["gram", "edge"], "left_semi")
+    runs = materialise(whole.unionByName(part.select("key", F.col("pos").alias("start"), F.lit(1).alias("n"))), "runs")
     release(shared, found, nodes, branching, single, known)
     return runs
 
@@ -143,6 +145,8 @@ def covered(starts: np.ndarray, counts: np.ndarray, k: int, length: int) -> np.n
 
 
 def with_runs(docs: DataFrame, runs: DataFrame) -> DataFrame:
-    """(doc_id, text, runs): every document with its list of runs, null if none."""
-    lists = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    return docs.select("doc_id", "text").join(lists, "doc_id", "left")
+    """Every document of ``keyed`` with its list of runs, null if none."""
+    lists = materialise(runs.groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("runs")), "lists")
+    alone, rest = parted(docs, lists, "key", "key")
+    none = F.lit(None).cast(lists.schema["runs"].dataType).alias("runs")
+    return alone.select("doc_id", "text", none).unionByName(rest.join(lists, "key", "left").select("doc_id", "text", "runs"))

@@ -6,7 +6,8 @@ shard Burrows-Wheeler transforms that gives the same windows for collections of
 README says why the corpus-wide query doesn't use it, with figures.
 
 Defined results: null and empty texts have no bytes; texts under ``window`` bytes lose nothing; windows never cross
-texts; a text in several rows loses all its windows in every row; extra columns are ignored; ids are unique.
+texts; a text in several rows loses all its windows in every row, be the ids equal, null or
+neither; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +17,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from trellis.llm import repeats
 
@@ -26,7 +26,7 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each text's bytes without the repeated windows."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = repeats.keyed(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -46,4 +46,4 @@ def dedup_bytes(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Data
             columns = [pa.array(x, pa.int64()) for x in (total, removed, spans)]
             yield pa.RecordBatch.from_arrays([ids, *columns, pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return repeats.with_runs(docs, repeats.repeated(docs, "byte", window, gram, keep_first=False)).mapInArrow(run, SCHEMA)
+    return repeats.with_runs(docs, repeats.repeated(docs, "byte", window, gram)).mapInArrow(run, SCHEMA)

@@ -9,8 +9,8 @@ Queries and candidates are dealt into blocks by a hash of their id, and every pa
 memory. Every candidate is scored. Scores are exact: they are summed as float32 or float64 only where the bound on any
 partial sum fits the mantissa, else as int64.
 
-Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor does a row
-that stands alone; ties go to the smaller id; a row is never its own candidate (rows of equal id neither); fewer than k
+Defined results: vectors that are null, empty or hold null or non-finite components take no part, nor do rows of null
+id or a row that stands alone; of rows of equal id each is a query and a candidate of its own; ties go to the smaller id; a row is never its own candidate (rows of equal id neither); fewer than k
 candidates give fewer rows; vectors of different lengths are compared over the terms that both have.
 """
 
@@ -85,6 +85,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int, query_block: int = QUERY_
     task holds about ``query_block`` queries, ``row_block`` rows and ``TILE`` arrays of scores. Work and rows sent grow as
     queries times rows / block size, as exhaustive search must.
     """
+    queries, rows = queries.filter("vec_id is not null"), rows.filter("vec_id is not null")
     blocks = lambda df, size: max(1, -(-df.count() // size))
     n_query, n_row = blocks(queries, query_block), blocks(rows, row_block)
     deal = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
