@@ -58,7 +58,7 @@ def compiled(rules):
             place(node ^ base ^ c, prefix + bytes([c]))
 
     place(0, b"")
-    array = np.zeros(max(units) + 300, dtype="<u4")
+    array = np.zeros(-(-(max(units) + 300) // 256) * 256, dtype="<u4")  # the library reads blocks of 1024 bytes
     for i, u in units.items():
         array[i] = u
     blob = array.tobytes()
@@ -75,3 +75,42 @@ def test_longest_prefix_and_alignment():
     source = "  ABA ﬁ~　 é ".encode()
     assert at.tolist() == [2, 2, 2, 2, 2, 2, 4, 5, 5, 5, 6, 6, 10, 10, 10, 14, 14, 16]
     assert source[14:16].decode() == "é"
+
+
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def field(number, value):
+    return varint(number << 3) + varint(value) if isinstance(value, int) else varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def with_map(blob):
+    """The public model with a compiled character map and removal of extra white space."""
+    parts = [(n, v) for n, v in pieces.fields(MODEL) if n != 3 and isinstance(v, bytes)]
+    return b"".join(field(n, v) for n, v in parts) + field(3, field(1, b"own") + field(2, blob) + field(3, 1) + field(4, 1) + field(5, 1))
+
+
+def test_a_model_with_a_compiled_map(spark):
+    rules = {"ﬁ".encode(): b"fi", b"A": b"a", b"AB": b"xyz", "　".encode(): b" ", "é".encode(): "e".encode(), "ｗ".encode(): b"w"}
+    model = with_map(compiled(rules))
+    library = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = [None, "", "  ABA ﬁnd　 é ", "AB ABAB AAB", "ﬁﬁ  ｗord", "plain  text", "日本 é　", "A"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(None, "é A", "x"), (3, "other AB", "x")], "doc_id int, text string, starts string")
+    seen = 0
+    for r in pieces.encode_decode(df, model).collect():
+        text = texts[r.doc_id] or "" if r.doc_id is not None and list(r.ids) == library.encode(texts[r.doc_id] or "", add_bos=True, add_eos=True) else "é A" if r.doc_id is None else "other AB"
+        assert list(r.ids) == library.encode(text, add_bos=True, add_eos=True) and r.decoded == library.decode(list(r.ids))
+        own = pieces.Pieces(model)
+        spelled = b"".join(own.texts[i] if own.kinds[i] == 1 else bytes([int(own.texts[i][3:5], 16)]) if own.kinds[i] == 6 else b"" for i in r.ids)
+        assert spelled == own.normalise(text.encode())[0]
+        source = text.encode()
+        for start, stop, i in zip(r.starts, r.stops, r.ids):
+            if own.kinds[i] == 1 and stop > start:
+                part = own.normalise(source[start:stop])[0].replace(pieces.ESCAPE, b"")
+                assert own.texts[i].replace(pieces.ESCAPE, b"") in part
+                seen += 1
+    assert seen > 20

@@ -173,13 +173,11 @@ class Pieces:
         if len(ends) and ends[-1] != len(normal):  # the pieces don't spell the normalised text: no spans
             return np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
         starts = at[ends - lengths]
-        first = np.minimum(ends, len(at) - 1)
-        stops = np.where(lengths > 0, at[first], starts)
-        inner = (lengths > 0) & (stops <= starts)  # ends inside a replaced sequence: cover it to its end
-        if inner.any():
-            after = np.searchsorted(at, starts, "right")
-            stops = np.where(inner & (starts > 0), at[np.minimum(after, len(at) - 1)], stops)
-        return starts, np.maximum(stops, starts)
+        last = at[np.maximum(ends - 1, 0)]
+        after = at[np.minimum(np.searchsorted(at, last, "right"), len(at) - 1)]  # where what the last byte came from is over
+        dummy = len(ESCAPE if self.escape else b" ") if self.prefix else 0
+        stops = np.where((lengths > 0) & (ends > dummy), np.maximum(after, starts), starts)
+        return starts, stops
 
 
 _LOADED: dict[bytes, Pieces] = {}

@@ -62,21 +62,23 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def piece_digest(batch: pa.RecordBatch) -> pa.RecordBatch:
     ids, decoded = batch.column("ids"), batch.column("decoded").to_pylist()
     ends, flat = np.asarray(ids.offsets), ids.values.to_numpy().astype("<u4")
-    covered = np.asarray(batch.column("stops").values).astype(np.int64) - np.asarray(batch.column("starts").values)
-    sums = np.concatenate(([0], np.cumsum(covered)))
+    starts, stops = (np.asarray(batch.column(c).values) for c in ("starts", "stops"))
+    spans = np.stack((starts, stops), axis=1).astype("<u4")
+    sums = np.concatenate(([0], np.cumsum(stops.astype(np.int64) - starts)))
     columns = {
         "doc_id": batch.column("doc_id"),
         "n_tokens": pa.array(np.diff(ends).astype(np.int64)),
         "ids_sha256": pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(ends, ends[1:])]),
         "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded]),
         "n_span_bytes": pa.array(sums[ends[1:]] - sums[ends[:-1]]),
+        "spans_sha256": pa.array([hashlib.sha256(spans[a:b].tobytes()).hexdigest() for a, b in zip(ends, ends[1:])]),
     }
     return pa.RecordBatch.from_pydict(columns)
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return pieces.encode_decode(table(spark, sf_dir, "documents"), piece_model(), (piece_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_span_bytes long"))
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), piece_model(), (piece_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_span_bytes long, spans_sha256 string"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -83,13 +83,15 @@ def paths(docs: DataFrame, unit: str, k: int, gram: int, ids: tuple[str, ...]) -
     return docs.select(*ids, "text").mapInArrow(run, schema(ids, PATHS))
 
 
-def with_lists(docs: DataFrame, rows: DataFrame, name: str, *columns: str) -> DataFrame:
-    """The documents that have ``rows`` (key, columns), with a list of those. Texts of other documents are not dealt out."""
+def with_lists(docs: DataFrame, rows: DataFrame, name: str, columns: tuple[str, ...], scratch: list[DataFrame]) -> DataFrame:
+    """The documents that have ``rows`` (key, columns), with a list of those. Texts of other documents are not dealt out. The lists'
+    table goes to ``scratch``, for the caller to release."""
     lists = materialise(rows.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias(name)), name)
+    scratch.append(lists)
     return parted(docs, lists, "key", "key")[1].join(lists, "key")
 
 
-def edges(docs: DataFrame, todo: DataFrame, unit: str, k: int, ids: tuple[str, ...]) -> DataFrame:
+def edges(docs: DataFrame, todo: DataFrame, unit: str, k: int, ids: tuple[str, ...], scratch: list[DataFrame]) -> DataFrame:
     """The single windows of the paths in ``todo`` (key, start, n, gram, weight), with offset, windows and content of their path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,28 +113,31 @@ def edges(docs: DataFrame, todo: DataFrame, unit: str, k: int, ids: tuple[str, .
                     names=[*ids, "pos", "gram", "edge", "weight", "offset", "n", "content"],
                 )
 
-    return with_lists(docs, todo, "paths", "start", "n", "gram", "weight").select(*ids, "text", "paths").mapInArrow(run, schema(ids, EDGES))
+    return with_lists(docs, todo, "paths", ("start", "n", "gram", "weight"), scratch).select(*ids, "text", "paths").mapInArrow(run, schema(ids, EDGES))
 
 
 def repeated(docs: DataFrame, unit: str, k: int, gram: int) -> DataFrame:
     """(key, start, n): runs of n windows, of the documents of ``keyed``, that occur anywhere else too.
 
     Null and short texts have no windows and no rows here."""
-    ids = ("key",)
+    ids, scratch = ("key",), []
     found = paths(docs, unit, k, gram, ids)
     shared = materialise(found.groupBy("gram").agg(F.count("*").alias("c")).filter("c > 1").select("gram"), "grams")
     found = materialise(found.join(shared, "gram", "left_semi"), "paths")
+    release(shared)
     nodes = materialise(found.groupBy("gram", "content", "n").agg(F.count("*").alias("weight"), F.min(F.struct("key", "start")).alias("rep")), "contents")
-    whole = found.join(nodes.filter("weight > 1").select("gram", "content", "n"), ["gram", "content", "n"], "left_semi").select("key", "start", "n")
+    whole = materialise(found.join(nodes.filter("weight > 1").select("gram", "content", "n"), ["gram", "content", "n"], "left_semi").select("key", "start", "n"), "whole")
+    release(found)
 
     # written first: the join then deals both sides itself and can split a minimiser that a common passage gives many paths
     branching = materialise(nodes.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1").select("gram"), "branching")
     todo = nodes.join(branching, "gram", "left_semi").select("rep.key", "rep.start", "n", "gram", "weight")
-    single = materialise(edges(docs, todo, unit, k, ids).drop("offset", "n", "content"), "edges")
+    single = materialise(edges(docs, todo, unit, k, ids, scratch).drop("offset", "n", "content"), "edges")
+    release(nodes, branching, *scratch)
     known = materialise(single.groupBy("gram", "edge").agg(F.sum("weight").alias("c")).filter("c > 1").select("gram", "edge"), "known")
     part = single.filter("weight = 1").join(known, ["gram", "edge"], "left_semi")
     runs = materialise(whole.unionByName(part.select("key", F.col("pos").alias("start"), F.lit(1).alias("n"))), "runs")
-    release(shared, found, nodes, branching, single, known)
+    release(whole, single, known)
     return runs
 
 

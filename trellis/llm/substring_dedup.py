@@ -38,7 +38,7 @@ IDS = ("key", "doc_id")
 PATH = ("source", "layer", "head")
 
 
-def end_nodes(docs: DataFrame, segments: DataFrame, k: int) -> DataFrame:
+def end_nodes(docs: DataFrame, segments: DataFrame, k: int, scratch: list[DataFrame]) -> DataFrame:
     """(key, layer, pos, n, left, right): the edge table, the segments (key, layer, pos, n) with the hashes of the k - 1 words at their ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,7 +54,7 @@ def end_nodes(docs: DataFrame, segments: DataFrame, k: int) -> DataFrame:
                 nodes = [K.signed(roll.slices(x, x + k - 1)) for x in (at, at + n[own])]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[lo:hi][row], layer[own], pos[own], n[own], *nodes)], names=["key", "layer", "pos", "n", "left", "right"])
 
-    return repeats.with_lists(docs, segments, "segments", "layer", "pos", "n").select("key", "text", "segments").mapInArrow(run, "key long, layer int, pos int, n int, left long, right long")
+    return repeats.with_lists(docs, segments, "segments", ("layer", "pos", "n"), scratch).select("key", "text", "segments").mapInArrow(run, "key long, layer int, pos int, n int, left long, right long")
 
 
 def compact(edges: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def compact(edges: DataFrame) -> DataFrame:
     return out
 
 
-def joined_words(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+def joined_words(docs: DataFrame, rows: DataFrame, k: int, scratch: list[DataFrame]) -> DataFrame:
     """Spans (key, start, n, source, layer, head, off, words) of the documents: runs of ``rows`` (key, start, n, source, layer, head, off) that
     follow each other both in the document and in one path, with the words they cover."""
     names = ("start", "n", *PATH, "off")
@@ -101,7 +101,7 @@ def joined_words(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=["key", *names, "words"])
 
-    found = repeats.with_lists(docs, rows, "spans", *names).select("key", "text", "spans")
+    found = repeats.with_lists(docs, rows, "spans", names, scratch).select("key", "text", "spans")
     return found.mapInArrow(run, "key long, start int, n int, source long, layer int, head int, off int, words binary")
 
 
@@ -123,7 +123,7 @@ def agreeing(pairs: DataFrame, k: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, k: int, gram: int) -> DataFrame:
     """(key, start, n): verified runs of n edges that a document with a smaller id has too, for the documents of ``repeats.keyed``."""
-    docs = docs.filter("doc_id is not null")
+    docs, scratch = docs.filter("doc_id is not null"), []
     found = repeats.paths(docs, "word", k, gram, IDS)
     shared = materialise(found.groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("gram"), "grams")
     found = materialise(found.join(shared, "gram", "left_semi"), "segments")
@@ -133,13 +133,13 @@ def repeated_spans(docs: DataFrame, k: int, gram: int) -> DataFrame:
     # written first: the join then deals both sides itself and can split a minimiser that a common passage gives many segments
     branching = materialise(contents.groupBy("gram").agg(F.count("*").alias("m")).filter("m > 1").select("gram"), "branching")
     todo = contents.join(branching, "gram", "left_semi").select("rep.key", "rep.start", "n", "gram", F.lit(1).cast("long").alias("weight"))
-    single = materialise(repeats.edges(docs, todo, "word", k, IDS).drop("weight"), "edges")
+    single = materialise(repeats.edges(docs, todo, "word", k, IDS, scratch).drop("weight"), "edges")
     first = F.min(F.struct("doc_id", "key", "pos")).alias("rep")
     known = materialise(single.groupBy("gram", "edge").agg(first, F.max("doc_id").alias("hi")).filter("rep.doc_id < hi").select("gram", "edge", F.col("rep.doc_id").alias("first"), F.col("rep.key").alias("source"), F.col("rep.pos").alias("pos")), "known")
     whole = contents.filter("rep.doc_id < hi").select("gram", "content", "n", F.col("rep.doc_id").alias("first"), F.col("rep.key").alias("source"), F.col("rep.start").alias("pos"))
 
     segments = whole.select(F.col("source").alias("key"), F.lit(0).alias("layer"), "pos", "n").unionByName(known.select(F.col("source").alias("key"), F.lit(1).alias("layer"), "pos", F.lit(1).alias("n")))
-    graph = materialise(end_nodes(docs, segments, k).distinct(), "graph")
+    graph = materialise(end_nodes(docs, segments, k, scratch).distinct(), "graph")
     paths = compact(graph)
     place = lambda layer: paths.filter(F.col("layer") == layer).select("source", "layer", "pos", "head")
     whole = found.join(whole, ["gram", "content", "n"]).filter("doc_id > first").join(place(0), ["source", "pos"])
@@ -147,13 +147,13 @@ def repeated_spans(docs: DataFrame, k: int, gram: int) -> DataFrame:
     part = single.join(known.withColumnRenamed("pos", "at"), ["gram", "edge"]).filter("doc_id > first").select("doc_id", "gram", "content", "n", "offset", "source", "at")
     part = part.join(found, ["doc_id", "gram", "content", "n"]).select("key", (F.col("start") + F.col("offset")).alias("start"), F.lit(1).alias("n"), "source", F.col("at").alias("pos")).join(place(1), ["source", "pos"])
     rows = [x.select("key", "start", "n", *PATH, (F.col("pos") - F.col("head")).alias("off")) for x in (whole, part)]
-    spans = materialise(joined_words(docs, rows[0].unionByName(rows[1]), k), "spans")
+    spans = materialise(joined_words(docs, rows[0].unionByName(rows[1]), k, scratch), "spans")
 
     heads = paths.groupBy(*PATH).agg(F.max(F.col("pos") + F.col("n")).alias("stop"))
     own = heads.select(F.col("source").alias("key"), F.col("head").alias("start"), (F.col("stop") - F.col("head")).alias("n"), *PATH, F.lit(0).alias("off"))
-    sources = materialise(joined_words(docs, own, k).select(*PATH, F.col("words").alias("path_words")).distinct(), "sources")
+    sources = materialise(joined_words(docs, own, k, scratch).select(*PATH, F.col("words").alias("path_words")).distinct(), "sources")
     runs = materialise(agreeing(spans.join(sources, list(PATH)), k), "runs")
-    release(shared, found, contents, branching, single, known, graph, paths, spans, sources)
+    release(shared, found, contents, branching, single, known, graph, paths, spans, sources, *scratch)
     return runs
 
 
