@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,10 +86,10 @@ def membership(ids: DataFrame, of: str = "doc_id") -> Callable[[Column], Column]
     bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
     shared = ids.sparkSession.sparkContext.broadcast(bitmap)
 
-    @F.pandas_udf("boolean")
-    def test(p: pd.Series) -> pd.Series:
-        p = p.to_numpy()
-        return pd.Series((shared.value[p >> 6] >> (p & 63) & 1).astype(bool))
+    @F.arrow_udf("boolean")
+    def test(p: pa.Array) -> pa.Array:
+        at = p.to_numpy(zero_copy_only=False)
+        return pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
 
     return lambda column: test(place(column))
 
