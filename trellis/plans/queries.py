@@ -592,10 +592,11 @@ def k_nearest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(spatial.k_nearest(_points(spark, sf_dir), "q", hosts.box_mesh(spark, sf_dir).nodes, 5))
 
 
-@query(f"SELECT nid, other, {R('d', 'dist2')} FROM (SELECT q.nid, arg_min(n.nid, {{'d': {_D2}, 'n': n.nid}}) AS other, min({_D2}) AS d FROM cloud q, cloud n WHERE n.nid % 5 = 0 GROUP BY q.nid)")
+@query(f"SELECT nid, other, {R('d', 'dist2')} FROM (SELECT q.nid, arg_min(n.nid, {{'d': {_D2}, 'n': n.nid}}) AS other, min({_D2}) AS d FROM cloud q, (SELECT nid, x + 0.03 AS x, y, z - 0.02 AS z FROM cloud) n GROUP BY q.nid)")
 def correspondence(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = hosts.point_cloud(spark, sf_dir).select("nid", "x", "y", "z")
-    return rounded(spatial.correspondence(Mesh(nodes, None), Mesh(nodes.filter("nid % 5 = 0"), None)))
+    moved = nodes.select("nid", (F.col("x") + 0.03).alias("x"), "y", (F.col("z") - 0.02).alias("z"))
+    return rounded(spatial.correspondence(Mesh(nodes, None), Mesh(moved, None)))
 
 
 @query("SELECT nid FROM bn WHERE (x - 2.2) * (x - 2.2) + (y - 3.1) * (y - 3.1) + (z - 1.7) * (z - 1.7) < 2.5 * 2.5")
@@ -619,15 +620,21 @@ def query_idxlist_uvc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.query_idxlist_uvc(mesh, uvc, queries).select("q", s("ids", "ids"))
 
 
-@query(f""", m AS (SELECT avg({_SIX}) AS e FROM bp), near AS (SELECT DISTINCT n.nid FROM bn n, (SELECT * FROM {_Q} WHERE q % 200 = 1) q, m WHERE {_D2} <= (e * 1.5) * (e * 1.5)) SELECT DISTINCT eid FROM bi WHERE nid IN (SELECT nid FROM near)""")
+def _moved_points(spark: SparkSession, sf_dir: str) -> Mesh:
+    """The points, half a box further along x."""
+    half = hosts.box_size(spark, sf_dir) * 0.5
+    return Mesh(_points(spark, sf_dir, "nid").withColumn("x", F.col("x") + half), None)
+
+
+@query(f""", m AS (SELECT avg({_SIX}) AS e FROM bp), near AS (SELECT DISTINCT n.nid FROM bn n, (SELECT q, x + (SELECT n FROM base) * 0.5 AS x, y, z FROM {_Q}) q, m WHERE {_D2} <= (e * 1.5) * (e * 1.5)) SELECT DISTINCT eid FROM bi WHERE nid IN (SELECT nid FROM near)""")
 def extract_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other = Mesh(_points(spark, sf_dir, "nid").filter("nid % 200 = 1"), None)
+    other = _moved_points(spark, sf_dir)
     return spatial.extract_overlap(hosts.box_mesh(spark, sf_dir), other, 1.5)
 
 
-@query(f"""SELECT eid FROM be WHERE eid NOT IN (SELECT eid FROM bi JOIN (SELECT DISTINCT n.nid FROM bn n, (SELECT * FROM {_Q} WHERE q % 200 = 1) q, (SELECT avg({_SIX}) AS e FROM bp) WHERE {_D2} <= (e * 1.5) * (e * 1.5)) USING (nid))""")
+@query(f"""SELECT eid FROM be WHERE eid NOT IN (SELECT eid FROM bi JOIN (SELECT DISTINCT n.nid FROM bn n, (SELECT q, x + (SELECT n FROM base) * 0.5 AS x, y, z FROM {_Q}) q, (SELECT avg({_SIX}) AS e FROM bp) WHERE {_D2} <= (e * 1.5) * (e * 1.5)) USING (nid))""")
 def extract_overlap_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    other = Mesh(_points(spark, sf_dir, "nid").filter("nid % 200 = 1"), None)
+    other = _moved_points(spark, sf_dir)
     return spatial.extract_overlap(hosts.box_mesh(spark, sf_dir), other, 1.5, complement=True)
 
 
@@ -648,18 +655,18 @@ def interpolate_elemdata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(interpolation.interpolate_elemdata(mesh, mesh, hosts.element_data(mesh)))
 
 
-@query(f"SELECT q.nid AS idx, {R(f'coalesce(max(CASE WHEN {_D2} = 0 THEN n.value END), sum(n.value / CASE WHEN {_D2} > 0 THEN pow({_D2}, 2.0) END) / sum(1.0 / CASE WHEN {_D2} > 0 THEN pow({_D2}, 2.0) END))', 'value')} FROM (SELECT nid, x + 0.01 AS x, y, z FROM cloud WHERE nid % 3 = 0) q, cloud n GROUP BY q.nid")
+@query(f"SELECT q.nid AS idx, {R(f'coalesce(max(CASE WHEN {_D2} = 0 THEN n.value END), sum(n.value / CASE WHEN {_D2} > 0 THEN pow({_D2}, 2.0) END) / sum(1.0 / CASE WHEN {_D2} > 0 THEN pow({_D2}, 2.0) END))', 'value')} FROM (SELECT nid, x + 0.01 AS x, y, z FROM cloud) q, cloud n GROUP BY q.nid")
 def interpolate_cloud_global(spark: SparkSession, sf_dir: str) -> DataFrame:
     cloud = hosts.point_cloud(spark, sf_dir)
-    points = cloud.filter("nid % 3 = 0").select(F.col("nid").alias("idx"), (F.col("x") + 0.01).alias("x"), "y", "z")
+    points = cloud.select(F.col("nid").alias("idx"), (F.col("x") + 0.01).alias("x"), "y", "z")
     return rounded(interpolation.interpolate_clouddata(points, cloud, 1))
 
 
-@query(f""", kn AS (SELECT * FROM (SELECT q.nid AS q, n.value, sqrt({_D2}) AS d, row_number() OVER (PARTITION BY q.nid ORDER BY {_D2}, n.nid) AS rank FROM (SELECT nid, x + 0.01 AS x, y, z FROM cloud WHERE nid % 3 = 0) q, cloud n) WHERE rank <= 18), rr AS (SELECT q, max(d) AS r FROM kn GROUP BY q),
+@query(f""", kn AS (SELECT * FROM (SELECT q.nid AS q, n.value, sqrt({_D2}) AS d, row_number() OVER (PARTITION BY q.nid ORDER BY {_D2}, n.nid) AS rank FROM (SELECT nid, x + 0.01 AS x, y, z FROM cloud) q, cloud n) WHERE rank <= 18), rr AS (SELECT q, max(d) AS r FROM kn GROUP BY q),
 ww AS (SELECT q, value, pow((r - d) / (r * d), 2) AS w FROM kn JOIN rr USING (q)) SELECT q AS idx, {R('sum(w * value) / sum(w)', 'value')} FROM ww GROUP BY q""")
 def interpolate_cloud_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     cloud = hosts.point_cloud(spark, sf_dir)
-    points = cloud.filter("nid % 3 = 0").select(F.col("nid").alias("idx"), (F.col("x") + 0.01).alias("x"), "y", "z")
+    points = cloud.select(F.col("nid").alias("idx"), (F.col("x") + 0.01).alias("x"), "y", "z")
     return rounded(interpolation.interpolate_clouddata(points, cloud, 0))
 
 
