@@ -59,6 +59,19 @@ def test_parsers():
     assert meshio.parse_neutral(b"3\n0 0 0\n1 0 0\n0 1 0\n1\n5 1 2 3 3\n0\n")[1] == [("Tt", [0, 1, 2, 2], 5, [1.0, 0.0, 0.0])]
 
 
+def test_cables_and_id_lists(spark, tmp_path):
+    point = lambda *p: dict(zip("xyz", map(float, p)))
+    rows = [(0, [-1, -1], [1, 2], 7.0, 100.0, 0.0006, [point(0, 0, 0), point(1.5, -2, 3)]), (1, [0, -1], [-1, -1], 7.0, 100.0, 0.5, [point(1.5, -2, 3)]), (2, [0, -1], [-1, -1], 7.0, 100.0, 0.5, [])]
+    cables = spark.createDataFrame(rows, "cid long, par array<long>, br array<long>, size double, gap double, conductivity double, pts array<struct<x:double,y:double,z:double>>")
+    meshio.write_cables(cables, f"{tmp_path}/p.pkje")
+    assert meshio.read_cables(spark, f"{tmp_path}/p.pkje").orderBy("cid").collect() == cables.orderBy("cid").collect()
+    (tmp_path / "bad.pkje").write_text("1\nCable 1\n0 0\n0 0\n0\n1\n1\n1\n")
+    with pytest.raises(Exception, match="out of order"):
+        meshio.read_cables(spark, f"{tmp_path}/bad.pkje").collect()
+    meshio.write_id_lists(spark.createDataFrame([(1, []), (0, [13, 4])], "q int, ids array<long>"), f"{tmp_path}/ids.txt")
+    assert (tmp_path / "ids.txt").read_text() == "2\n13 4 \n\n"
+
+
 def test_replay(spark, tmp_path):
     for t in range(3):
         spark.createDataFrame([(t, i, float(t)) for i in range(4)], "t int, idx long, value double").coalesce(1).write.mode("append").parquet(f"{tmp_path}/s")

@@ -77,6 +77,11 @@ def triangle_area(a: Vec, b: Vec, c: Vec) -> Column:
     return 0.5 * norm(cross(sub(b, a), sub(c, a)))
 
 
+def signed_triangle_area(a: Vec, b: Vec, c: Vec) -> Column:
+    """Area of a triangle's shadow in the x-y plane, positive if it runs counter-clockwise there."""
+    return 0.5 * ((b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0]))
+
+
 def triangle_normal(a: Vec, b: Vec, c: Vec) -> Vec:
     """Unit normal that points out of an element whose faces are clockwise seen from outside; zero if degenerate."""
     n = cross(sub(c, a), sub(b, a))

@@ -315,3 +315,11 @@ def resample_limits(average: float, mode: str = "tet") -> tuple[float, float]:
     """(least, most) edge length around an average; fixed factors."""
     low, high = {"tet": (0.5, 1.8), "tri": (0.75, 1.8), "uniform": (0.65, 1.7)}[mode]
     return average * low, average * high
+
+
+def edge_mesh(mesh: Mesh, edges: DataFrame | None = None) -> Mesh:
+    """The edges (v1, v2) as a line mesh over the same nodes, in ascending order; all of the mesh's edges if none are given."""
+    edges = (mesh.element_edges if edges is None else edges).select("v1", "v2").distinct()
+    keyed = edges.crossJoin(F.broadcast(mesh.nodes.agg((F.max("nid") + 1).alias("n")))).withColumn("code", F.col("v1") * F.col("n") + F.col("v2")).drop("n")
+    lines = dense_ids(keyed, "code", "eid")
+    return mesh.with_elements(lines.select("eid", F.lit("Ln").alias("etype"), F.array("v1", "v2").alias("con"), F.lit(0).cast("long").alias("tag"), F.array().cast("array<double>").alias("fib")))

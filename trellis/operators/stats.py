@@ -152,3 +152,28 @@ def ray_hit(origin: G.Vec, direction: G.Vec, pts: Column) -> Column:
         return F.when((F.abs(r["det"]) > 1e-12 * r["size"]) & (alpha >= 0) & (beta >= 0) & (alpha + beta <= 1), t)
 
     return G.let(G.let(start, products), solve)
+
+
+def shared_elements(mesh: Mesh, least: int = 1) -> DataFrame:
+    """(nid, nbr, n): node pairs, each node with itself included, that share ``least`` elements or more, and how many they share."""
+    pairs = mesh.elements.select("con", F.explode("con").alias("nid")).select("nid", F.explode("con").alias("nbr"))
+    return pairs.groupBy("nid", "nbr").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+
+
+def distance_to_centroid(mesh: Mesh) -> DataFrame:
+    """(nid, value): distance of each node to the mean of its neighbours, itself left out."""
+    other = mesh.nodes.select(F.col("nid").alias("nbr"), *(F.col(c).alias(f"_{c}") for c in "xyz"))
+    means = mesh.n2n.filter("nid <> nbr").join(other, "nbr").groupBy("nid").agg(*(F.avg(f"_{c}").alias(f"_{c}") for c in "xyz"))
+    return mesh.nodes.join(means, "nid").select("nid", F.sqrt(sum(((F.col(f"_{c}") - F.col(c)) ** 2 for c in "yz"), (F.col("_x") - F.col("x")) ** 2)).alias("value"))
+
+
+def bounding_sphere(nodes: DataFrame) -> DataFrame:
+    """One row: the mean of the nodes (x, y, z) and the greatest distance from it."""
+    centre = nodes.agg(*(F.avg(c).alias(f"_{c}") for c in "xyz"))  # one row
+    far = F.max(sum(((F.col(c) - F.col(f"_{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("_x")) ** 2))
+    return nodes.crossJoin(F.broadcast(centre)).agg(*(F.first(f"_{c}").alias(c) for c in "xyz"), F.sqrt(far).alias("radius"))
+
+
+def in_interval(ids: DataFrame, column: str, start: int, stop: int) -> DataFrame:
+    """One row (inside): whether all ids are in [start, stop); true for none."""
+    return ids.agg(F.coalesce(F.min(F.col(column).between(start, stop - 1)), F.lit(True)).alias("inside"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trellis.functions import geometry as G
-from trellis.model import Mesh
+from trellis.model import Mesh, with_points
 from trellis.operators import attributes, graph, interpolation, select, series, smoothing, spatial, stats, surface, voxels
 from trellis.plans import hosts
 from trellis.plans.hosts import CTE
@@ -395,6 +395,34 @@ def query_edges_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.connections(hosts.order_mesh(spark, sf_dir))
 
 
+@query("SELECT a.nid, b.nid AS nbr, count(*) AS n FROM bi a JOIN bi b USING (eid) GROUP BY a.nid, b.nid HAVING count(*) >= 4")
+def restrict_connectivity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.shared_elements(hosts.box_mesh(spark, sf_dir), 4)
+
+
+@query(f"SELECT p.nid, {R('sqrt(pow(avg(q.x) - p.x, 2) + pow(avg(q.y) - p.y, 2) + pow(avg(q.z) - p.z, 2))', 'value')} FROM (SELECT v1 AS nid, v2 AS nbr FROM bpair UNION ALL SELECT v2, v1 FROM bpair) e JOIN bn p ON p.nid = e.nid JOIN bn q ON q.nid = e.nbr GROUP BY p.nid, p.x, p.y, p.z")
+def distance_to_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.distance_to_centroid(hosts.box_mesh(spark, sf_dir)))
+
+
+@query(f", c AS (SELECT avg(x) AS x, avg(y) AS y, avg(z) AS z FROM bn) SELECT {R('c.x', 'x')}, {R('c.y', 'y')}, {R('c.z', 'z')}, {R('max(sqrt(pow(bn.x - c.x, 2) + pow(bn.y - c.y, 2) + pow(bn.z - c.z, 2)))', 'radius')} FROM bn, c GROUP BY c.x, c.y, c.z")
+def bounding_sphere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(stats.bounding_sphere(hosts.box_mesh(spark, sf_dir).nodes))
+
+
+@query("SELECT row_number() OVER (ORDER BY v1, v2) - 1 AS eid, CAST(v1 AS VARCHAR) || ',' || CAST(v2 AS VARCHAR) AS con FROM bpair")
+def edge_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return select.edge_mesh(hosts.box_mesh(spark, sf_dir)).elements.select("eid", s("con", "con"))
+
+
+@query(f"SELECT array_to_string(fkey, ',') AS fkey, {R('((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x)) / 2.0', 'value')} FROM bs JOIN bn a ON a.nid = face[1] JOIN bn b ON b.nid = face[2] JOIN bn c ON c.nid = face[3]")
+def signed_triangle_area(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mesh = hosts.box_mesh(spark, sf_dir)
+    faces = with_points(surface.boundary(mesh), "face", "fkey", mesh.nodes)
+    p = [G.at(F.col("pts"), i) for i in range(3)]
+    return rounded(faces.select(s("fkey", "fkey"), G.signed_triangle_area(*p).alias("value")))
+
+
 _OLEN = ", pr AS (SELECT DISTINCT a.nid AS v1, b.nid AS v2 FROM oi a JOIN oi b ON a.eid = b.eid AND a.nid < b.nid), ol AS (SELECT sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y) + (q.z - p.z) * (q.z - p.z)) AS value FROM pr JOIN onodes p ON p.nid = v1 JOIN onodes q ON q.nid = v2) "
 
 

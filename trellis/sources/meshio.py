@@ -208,6 +208,39 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("line").alias("q"), *(F.col("v")[i].alias(n) for i, n in enumerate(names)))
 
 
+def write_id_lists(lists: DataFrame, path: str) -> None:
+    """Id lists (q, ids) as a count and a line for each query, in order of the queries."""
+    write_lines(lists.select("q", "ids"), "q", path, lambda r: "".join(f"{i} " for i in r.ids or ()), [str(lists.count())])
+
+
+def read_cables(spark: SparkSession, path: str) -> DataFrame:
+    """(cid, par, br, size, gap, conductivity, pts) of a ``.pkje`` file: a count, then for each cable its index, its parents, its branches, the
+    number of its points, its size, gap junction resistance and conductivity, and its points, a line each."""
+
+    def parse(data: bytes) -> pd.DataFrame:
+        lines = iter(data.decode().split("\n"))
+        rows = []
+        for n in range(int(next(lines))):
+            label = next(lines).split()
+            if label[:1] != ["Cable"] or int(label[1]) != n:
+                raise ValueError(f"cable {n} is out of order: {' '.join(label)}")
+            par, br = ([int(x) for x in next(lines).split()[:2]] for _ in range(2))
+            count = int(next(lines))
+            size, gap, conductivity = (float(next(lines)) for _ in range(3))
+            rows.append((n, par, br, size, gap, conductivity, [dict(zip("xyz", map(float, next(lines).split()[:3]))) for _ in range(count)]))
+        return pd.DataFrame(rows, columns=["cid", "par", "br", "size", "gap", "conductivity", "pts"])
+
+    return parse_file(spark, path, parse, "cid long, par array<long>, br array<long>, size double, gap double, conductivity double, pts array<struct<x:double,y:double,z:double>>")
+
+
+def write_cables(cables: DataFrame, path: str) -> None:
+    def text(r) -> str:
+        head = [f"Cable {r.cid}", " ".join(map(str, r.par)), " ".join(map(str, r.br)), str(len(r.pts)), *(f"{x:f}" for x in (r["size"], r.gap, r.conductivity))]
+        return "\n".join((*head, *(f"{p.x:f} {p.y:f} {p.z:f}" for p in r.pts)))
+
+    write_lines(cables, "cid", path, text, [str(cables.count())])
+
+
 def read_uvc(spark: SparkSession, path: str) -> DataFrame:
     """(nid, z, rho, phi, v) after a count."""
     return numbers(spark, path, 1).select(F.col("line").alias("nid"), *(F.col("v")[i].alias(n) for i, n in enumerate(("z", "rho", "phi", "v"))))
