@@ -10,12 +10,9 @@ import shutil
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
 from pathlib import Path
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MEMBER_BITS = 24
@@ -74,31 +71,21 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def membership(ids: DataFrame, of: str = "doc_id") -> Callable[[Column], Column]:
-    """A test on a column: may the id be in ``ids`` (column ``of``)? What is in it passes, and few others while it is small.
+def parted(docs: DataFrame, ids: DataFrame, by: str = "doc_id", of: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows whose ``by`` is surely not among the ids in column ``of``, nulls among them; the rest): only the rest needs a join, and
+    texts that have nothing to meet are not shuffled.
 
-    The test is a bitmap of ``1 << MEMBER_BITS`` hashed places, so what is gathered and sent has a fixed size. It only
-    spares rows a shuffle; the join behind it decides."""
+    The test is a bitmap of ``1 << MEMBER_BITS`` hashed places, as at most 2 ** 18 rows of 64 bits, whatever the number of ids: that
+    bounds what is broadcast. It only spares rows a shuffle; the join behind it decides. It runs in the JVM, so that a stage with a Python
+    kernel needs no second set of workers."""
     place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(1 << MEMBER_BITS))
     at = ids.select(place(F.col(of)).alias("p"))
-    words = at.groupBy(F.shiftright("p", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits")).toArrow()
-    bitmap = np.zeros(1 << (MEMBER_BITS - 6), dtype=np.int64)
-    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-    shared = ids.sparkSession.sparkContext.broadcast(bitmap)
-
-    @F.arrow_udf("boolean")
-    def test(p: pa.Array) -> pa.Array:
-        at = p.to_numpy(zero_copy_only=False)
-        return pa.array((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
-
-    return lambda column: test(place(column))
-
-
-def parted(docs: DataFrame, ids: DataFrame, by: str = "doc_id", of: str = "doc_id") -> tuple[DataFrame, DataFrame]:
-    """(rows whose ``by`` is surely not among ``ids``, nulls among them; the rest): only the rest needs a join, and texts that
-    have nothing to meet are not shuffled."""
-    here = F.col(by).isNotNull() & membership(ids, of)(F.coalesce(F.col(by).cast("long"), F.lit(0)))
-    return docs.filter(~here), docs.filter(here)
+    words = at.groupBy(F.shiftright("p", 6).alias("member_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("member_bits"))
+    words = F.broadcast(materialise(words, "membership"))
+    spot = place(docs[by])
+    bit = F.call_function("shiftright", words["member_bits"], (spot % 64).cast("int")).bitwiseAND(F.lit(1).cast("long")) == 1
+    here = docs[by].isNotNull() & (F.shiftright(spot, 6) == words["member_word"]) & bit
+    return docs.join(words, here, "left_anti"), docs.join(words, here, "left_semi")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

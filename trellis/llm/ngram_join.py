@@ -15,7 +15,7 @@ component meets the other blocks, as pairs inside a component have nothing to ad
 links, never all pairs, and components follow from the forests.
 
 Nothing grows on the driver: the sketch's levels (``1 << SKETCH_BITS`` bytes) and a bitmap of the families' ids
-(``common.membership``, which spares sending texts that are in no family) have fixed sizes.
+(``common.parted``, which spares sending texts that are in no family) have fixed sizes.
 
 Defined results: words are runs of bytes other than white space, A-Z lower-cased; fewer words than n make one shingle; null
 texts and texts without words have an empty set and link with nothing; equal sets link; rows of equal id are one document,
