@@ -6,7 +6,7 @@ from fixtures import block
 from pyspark.sql import functions as F
 
 from trellis.functions import geometry as G
-from trellis.operators import attributes, graph, select, series, smoothing, spatial, stats, surface, voxels
+from trellis.operators import attributes, graph, interpolation, select, series, smoothing, spatial, stats, surface, voxels
 
 
 @pytest.fixture(scope="module")
@@ -148,3 +148,35 @@ def test_series(spark):
     assert [got[8 + 4 * int(i) + 2] for i in x[:4]] == pytest.approx(half)
     with pytest.raises(ValueError, match="steps"):
         series.steps_equal(s, s.filter("t < 2"))
+
+
+def test_radii_of_many_sizes(spark):
+    rng = np.random.default_rng(4)
+    nodes = [(i, *map(float, p)) for i, p in enumerate(rng.random((250, 3)))]
+    radii = [0.0, 1e-7, 0.02, 0.05, 0.0625, 0.25, 0.25, 1.0, 2.0, None]
+    queries = [(k, *(nodes[k][1:] if k < 3 else map(float, rng.random(3))), radii[k]) for k in range(len(radii))]
+    df = spark.createDataFrame(queries, "q long, x double, y double, z double, r double")
+    cloud = spark.createDataFrame(nodes, "nid long, x double, y double, z double")
+    near = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    want = {(q, n) for q, *p, r in queries if r is not None for n, *at in nodes if near(p, at) <= r * r}
+    got = [(r.q, r.nid) for r in spatial.within(df, "q", cloud, "r").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert spatial.within(df, "q", cloud.filter("false"), "r").count() == 0
+    assert spatial.within(df.filter("false"), "q", cloud, "r").count() == 0
+    assert {(r.q, r.nid) for r in spatial.within(df, "q", cloud, 0.25).collect()} == {(q, n) for q, *p, _ in queries for n, *at in nodes if near(p, at) <= 0.0625}
+
+
+def test_lookup_table(spark):
+    rng = np.random.default_rng(5)
+    x = np.sort(rng.random(300))
+    y = rng.random(300)
+    at = np.concatenate((rng.random(500) * 3 - 1, x[:20], [0.5] * 300))
+    table = spark.createDataFrame(list(zip(x.tolist(), y.tolist())), "x double, y double")
+    points = spark.createDataFrame([*enumerate(at.tolist()), (9999, None)], "idx long, x double")
+    got = {r.idx: r.value for r in interpolation.piecewise_linear(points, table).collect()}
+    assert got.pop(9999) is None and len(got) == len(at)
+    assert np.allclose([got[i] for i in range(len(at))], np.interp(at, x, y))
+    few = interpolation.piecewise_linear(points, table.limit(1)).filter("idx < 9999").select("value").distinct().collect()
+    assert [r.value for r in few] == [table.first().y]
+    assert interpolation.piecewise_linear(points, table.filter("false")).filter("value is not null").count() == 0
+    assert interpolation.piecewise_linear(points.filter("false"), table).count() == 0

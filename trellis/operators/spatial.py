@@ -18,6 +18,7 @@ from trellis.operators.stats import ray_hit
 from trellis.session import cut
 
 AXES = "xyz"
+RADIUS_CLASSES = 8
 
 
 def extent(nodes: DataFrame) -> tuple[list[float], list[float], int]:
@@ -27,11 +28,11 @@ def extent(nodes: DataFrame) -> tuple[list[float], list[float], int]:
     return list(row[:3]), list(row[3:6]), row[6]
 
 
-def cells(low: list[float], h: float) -> list[Column]:
+def cells(low: list[float], h: float | Column) -> list[Column]:
     return [F.floor((F.col(c) - F.lit(lo)) / F.lit(h)).alias(f"c{c}") for c, lo in zip(AXES, low)]
 
 
-def around(df: DataFrame, low: list[float], h: float) -> DataFrame:
+def around(df: DataFrame, low: list[float], h: float | Column) -> DataFrame:
     """Each row once for each of the 27 cells around its own."""
     step = F.array(*(F.lit(i) for i in (-1, 0, 1)))
     out = df.select("*", *cells(low, h))
@@ -40,11 +41,11 @@ def around(df: DataFrame, low: list[float], h: float) -> DataFrame:
     return out
 
 
-def candidates(points: DataFrame, key: str, nodes: DataFrame, low: list[float], h: float) -> DataFrame:
-    """(key, nid, dist2) of nodes in the 27 cells around each point; these hold all nodes within h."""
-    placed = nodes.select("nid", *(F.col(c).alias(f"n{c}") for c in AXES), *cells(low, h))
+def candidates(points: DataFrame, key: str, nodes: DataFrame, low: list[float], h: float | Column, by: tuple[str, ...] = ()) -> DataFrame:
+    """(key, nid, dist2) of nodes in the 27 cells around each point, of equal columns ``by``; these hold all nodes within h."""
+    placed = nodes.select("nid", *by, *(F.col(c).alias(f"n{c}") for c in AXES), *cells(low, h))
     d2 = sum(((F.col(f"n{c}") - F.col(c)) * (F.col(f"n{c}") - F.col(c)) for c in AXES[1:]), (F.col("nx") - F.col("x")) * (F.col("nx") - F.col("x")))
-    return around(points, low, h).join(placed, ["cx", "cy", "cz"]).select(key, "nid", d2.alias("dist2"))
+    return around(points, low, h).join(placed, [*by, "cx", "cy", "cz"]).select(key, "nid", d2.alias("dist2"))
 
 
 def k_nearest(points: DataFrame, key: str, nodes: DataFrame, k: int) -> DataFrame:
@@ -81,12 +82,19 @@ def correspondence(first: Mesh, second: Mesh) -> DataFrame:
 
 
 def within(points: DataFrame, key: str, nodes: DataFrame, radius: str | float, inclusive: bool = True) -> DataFrame:
-    """(key, nid, dist2) of nodes within the radius (a number, or a column of ``points``) of each point."""
+    """(key, nid, dist2) of nodes within the radius (a number, or a column of ``points``) of each point; none for a null radius.
+
+    Points go by the size of their radius: each class has cells a quarter as wide as the one before, so one wide query does not
+    make the others read wide cells. Nodes are placed once for every class that occurs, ``RADIUS_CLASSES`` at most."""
     low, _, _ = extent(nodes)
-    r = F.col(radius) if isinstance(radius, str) else F.lit(float(radius))
+    r = F.abs(F.col(radius)) if isinstance(radius, str) else F.lit(abs(float(radius)))
     most = points.agg(F.max(r)).first()[0] or 0.0
-    h = max(most, 1e-300) if most else 1.0
-    found = candidates(points.withColumn("_r", r).select(F.struct(key, "_r").alias("_k"), *AXES), "_k", nodes, low, h)
+    h = max(most, 1e-300) * (1 + 1e-9) if most else 1.0
+    step = F.when(r > 0, F.greatest(F.ceil(F.log2(r / h) / 2), F.lit(1 - RADIUS_CLASSES))).otherwise(F.lit(1 - RADIUS_CLASSES) if most else F.lit(0)).cast("int")
+    points = points.select(F.struct(key, r.alias("_r")).alias("_k"), *AXES, step.alias("_step"))
+    steps = sorted(points.agg(F.collect_set("_step")).first()[0])  # RADIUS_CLASSES at most
+    nodes = nodes.select("nid", *AXES, F.explode(F.array(*(F.lit(i) for i in steps or [0]))).alias("_step"))
+    found = candidates(points, "_k", nodes, low, F.lit(h * (1 + 1e-9)) * F.pow(F.lit(4.0), F.col("_step")), ("_step",))
     near = F.col("dist2") <= F.col("_k._r") * F.col("_k._r") if inclusive else F.col("dist2") < F.col("_k._r") * F.col("_k._r")
     return found.filter(near).select(F.col(f"_k.{key}").alias(key), "nid", "dist2")
 
