@@ -45,7 +45,7 @@ def features(text: str) -> list[float]:
     data = text.encode()
     n = max(1, len(data))
     counts = np.bincount(_CLASS[np.frombuffer(data, dtype=np.uint8)], minlength=8)
-    letters = max(1, int(counts[_LETTER_UPPER] + counts[_LETTER_LOWER]))
+    letters = int(counts[_LETTER_UPPER] + counts[_LETTER_LOWER])
     words = text.split()
     m = max(1, len(words))
     seen = Counter(words)
@@ -62,7 +62,7 @@ def features(text: str) -> list[float]:
         before = word
     return [
         math.log1p(len(words)), float(lengths.mean()), len(seen) / m, len(set(zip(words, words[1:]))) / max(1, m - 1), same / m, float(share.max()), float(-(share * np.log(share)).sum()) / math.log(m + 1),
-        float((lengths > 12).mean()), float((lengths <= 3).mean()), letters / n, counts[_LETTER_UPPER] / letters, counts[_DIGIT] / n, counts[_MARK] / n, counts[_SYMBOL] / n,
+        float((lengths > 12).mean()), float((lengths <= 3).mean()), letters / n, counts[_LETTER_UPPER] / max(1, letters), counts[_DIGIT] / n, counts[_MARK] / n, counts[_SYMBOL] / n,
         sum(w.endswith(_SYMBOLS) for w in words) / m, sum(w in _SYMBOLS for w in words) / m, (text.count(".") + text.count("?")) / m, m / len(lines), 1 - len(set(lines)) / len(lines),
         sum(w[0].isupper() for w in words) / m, math.log1p(longest), counts[7] / n,
     ]
