@@ -117,22 +117,34 @@ def nodal_sizing(mesh: Mesh) -> DataFrame:
     return both.select(F.col("v1").alias("nid"), "value").unionByName(both.select(F.col("v2").alias("nid"), "value")).groupBy("nid").agg(F.avg("value").alias("value"))
 
 
-def self_intersections(mesh: Mesh, slabs: int = 50) -> DataFrame:
-    """(v1, v2, eid): edges that pass through a triangle they share no node with, at a place between 0.01 and 0.99 of the edge.
+def meeting(mesh: Mesh, most: int = 100) -> DataFrame:
+    """Edges (v1, v2, pv1, pv2) with the triangles (eid, con, pts) that they share a cell with.
+
+    The cells of the grid are twice as wide as a mean triangle, ``most`` along an axis at most; edges and triangles take those that their boxes cover."""
+    from trellis.operators.spatial import AXES, covering, extent
+    from trellis.session import cut
 
-    Edges and triangles meet by slabs along x; only pairs in a common slab with overlapping boxes are tested."""
-    ends = mesh.nodes.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
-    slab = lambda c: F.least(F.floor((c - F.col("lo")) * slabs / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-300))), F.lit(slabs - 1))
+    lo, hi, _ = extent(mesh.nodes)
     a, b = (mesh.nodes.select(F.col("nid").alias(v), F.struct("x", "y", "z").alias(f"p{v}")) for v in ("v1", "v2"))
-    edges = mesh.element_edges.select("v1", "v2").distinct().join(a, "v1").join(b, "v2").crossJoin(F.broadcast(ends))
-    edges = edges.withColumn("slab", F.explode(F.sequence(slab(F.least("pv1.x", "pv2.x")), slab(F.greatest("pv1.x", "pv2.x"))))).drop("lo", "hi")
-    xs = F.transform("pts", lambda p: p["x"])
-    faces = mesh.points.filter("etype = 'Tr'").select("eid", "con", "pts").crossJoin(F.broadcast(ends))
-    faces = faces.withColumn("slab", F.explode(F.sequence(slab(F.array_min(xs)), slab(F.array_max(xs))))).drop("lo", "hi")
+    edges = mesh.element_edges.select("v1", "v2").distinct().join(a, "v1").join(b, "v2")
+    faces = cut(mesh.points.filter("etype = 'Tr'").select("eid", "con", "pts"))
+    spots = {c: F.transform("pts", G.part(c)) for c in AXES}
+    ends = {c: (F.array_min(s), F.array_max(s)) for c, s in spots.items()}
+    mean = faces.agg(F.avg(F.greatest(*(top - bottom for bottom, top in ends.values())))).first()[0] or 0.0
+    size = max(2.0 * mean, *((h - w) / most for w, h in zip(lo, hi))) or 1.0
+    edges = covering(edges, lo, size, {c: (F.least(f"pv1.{c}", f"pv2.{c}"), F.greatest(f"pv1.{c}", f"pv2.{c}")) for c in AXES})
+    faces = covering(faces, lo, size, ends)
+    return edges.join(faces, ["cx", "cy", "cz"])
+
+
+def self_intersections(mesh: Mesh) -> DataFrame:
+    """(v1, v2, eid): edges that pass through a triangle they share no node with, at a place between 0.01 and 0.99 of the edge.
+
+    Only pairs in a common cell with overlapping boxes are tested."""
     low = lambda c: (F.least(f"pv1.{c}", f"pv2.{c}") <= F.array_max(F.transform("pts", lambda p: p[c]))) & (F.greatest(f"pv1.{c}", f"pv2.{c}") >= F.array_min(F.transform("pts", lambda p: p[c])))
     apart = ~F.array_contains("con", F.col("v1")) & ~F.array_contains("con", F.col("v2"))
     hit = ray_hit(G.vec(F.col("pv1")), G.sub(G.vec(F.col("pv2")), G.vec(F.col("pv1"))), F.col("pts"))
-    return edges.join(faces, "slab").filter(apart & low("x") & low("y") & low("z")).withColumn("t", hit).filter("t > 0.01 and t < 0.99").select("v1", "v2", "eid").distinct()
+    return meeting(mesh).filter(apart & low("x") & low("y") & low("z")).withColumn("t", hit).filter("t > 0.01 and t < 0.99").select("v1", "v2", "eid").distinct()
 
 
 def ray_hit(origin: G.Vec, direction: G.Vec, pts: Column) -> Column:
