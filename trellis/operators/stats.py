@@ -97,12 +97,19 @@ def pattern(mesh: Mesh, rows: int = 30, columns: int = 60) -> DataFrame:
     return mesh.n2n.crossJoin(F.broadcast(top)).groupBy(cell("nid", rows).alias("row"), cell("nbr", columns).alias("col")).agg(F.count("*").alias("n"))
 
 
+def own_lengths(etype: Column, pts: Column) -> Column:
+    """Array of the lengths of an element's edges."""
+    edges = by_type(EDGES, F.sequence(F.lit(0), F.size(pts) - 1).cast("array<long>"), etype)
+    return F.transform(edges, lambda e: F.sqrt(G.dist2(G.vec(F.element_at(pts, (e[0] + 1).cast("int"))), G.vec(F.element_at(pts, (e[1] + 1).cast("int"))))))
+
+
+def longest_edge(etype: Column, pts: Column) -> Column:
+    return F.array_max(own_lengths(etype, pts))
+
+
 def element_edge_means(mesh: Mesh) -> DataFrame:
     """(eid, mean, least): edge lengths of each element."""
-    edges = by_type(EDGES, F.sequence(F.lit(0), F.size("con") - 1).cast("array<long>"), F.col("etype"))
-    p = F.col("pts")
-    length = lambda e: F.sqrt(G.dist2(G.vec(F.element_at(p, (e[0] + 1).cast("int"))), G.vec(F.element_at(p, (e[1] + 1).cast("int")))))
-    rows = mesh.points.select("eid", F.transform(edges, length).alias("l"))
+    rows = mesh.points.select("eid", own_lengths(F.col("etype"), F.col("pts")).alias("l"))
     return rows.select("eid", (F.aggregate("l", F.lit(0.0), lambda a, b: a + b) / F.size("l")).alias("mean"), F.array_min("l").alias("least"))
 
 
